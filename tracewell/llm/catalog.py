@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, packing, token_files
 
 QUERIES = {
+    "op2_token_files": token_files.op2_token_files,
+    "op3_hierarchical_packing": packing.op3_hierarchical_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_winnowing_decontamination": decontaminate.op5_winnowing_decontamination,
 }

@@ -96,3 +96,22 @@ def open_shared(uri: str):
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
     return fs.FileSystem.from_uri(uri)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers where their path does not hold it already."""
+    import shutil
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    known = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)] + [Path.cwd()]
+    app = spark.sparkContext.applicationId
+    if root in known or app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1].name
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package}", "zip", root, package)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
