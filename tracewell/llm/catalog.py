@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, token_files
+from . import decontaminate, exact_dedup, language_id, packing, token_files
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_token_files": token_files.op2_token_files,
     "op3_hierarchical_packing": packing.op3_hierarchical_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,

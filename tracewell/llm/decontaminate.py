@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower, broadcast_if_small, next_pow2
+from .common import Workspace, ascii_lower, broadcast_if_small, next_pow2, without_keys
 
 K = 4
 WINDOW = 5
@@ -202,9 +202,11 @@ def _scan(docs: DataFrame, bitmap: Column, bits: int, n_prints: int, short: list
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, least_items: int = 2) -> DataFrame:
     """``docs`` without the rows that hold windows of ``least_items`` benchmark items or more."""
-    found = contamination(spark, docs, items)
-    dirty = found.where(F.col("n_items") >= least_items).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    ws = Workspace(spark, "winnow-filter")
+    found = contamination(spark, docs, items, ws)
+    dirty = ws.table(found.where(F.col("n_items") >= least_items).select(F.col("doc_id").alias("_id")).distinct(), "dirty")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return without_keys(ws, docs, dirty, same, F.xxhash64("_id"), F.xxhash64("doc_id"), "dirty-filter")
 
 
 def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
