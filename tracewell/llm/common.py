@@ -70,6 +70,52 @@ class Workspace:
                 shutil.rmtree(local, ignore_errors=True)
 
 
+class KeyFilter:
+    """A blocked bit filter over the hashes of a set of keys, for dropping rows before a shuffle.
+
+    The filter is broadcast as blocks of 4 KB; ``BLOCKS`` bounds it to 16 MB however many keys there
+    are.  A fuller filter lets more rows through to the exact join behind it and never drops a match.
+    """
+
+    BITS, PER_KEY, BLOCKS = 32768, 64, 4096
+
+    def __init__(self, ws: Workspace, keys: DataFrame, key_hash: Column, name: str):
+        n = keys.count()
+        self.blocks = min(self.BLOCKS, next_pow2(max(1, n * self.PER_KEY // self.BITS)))
+        self.table = ws.table(
+            keys.select(self._block(key_hash).alias("_block"), self._bit(key_hash).alias("_bit"))
+            .groupBy("_block")
+            .agg(F.bitmap_construct_agg("_bit").alias("_bits")),
+            name,
+        )
+
+    def _block(self, h: Column) -> Column:
+        return F.pmod(F.shiftright(h, 20), F.lit(self.blocks))
+
+    def _bit(self, h: Column) -> Column:
+        return F.pmod(h, F.lit(self.BITS))
+
+    def split(self, df: DataFrame, key_hash: Column) -> tuple[DataFrame, DataFrame]:
+        """(rows that may hold a key, rows that hold none); together they are ``df``."""
+        marked = df.withColumns({"_block": self._block(key_hash), "_bit": self._bit(key_hash)}).join(
+            F.broadcast(self.table), "_block", "left"
+        )
+        maybe = F.coalesce(bit_is_set(F.col("_bits"), F.col("_bit")), F.lit(False))
+        return marked.where(maybe).select(*df.columns), marked.where(~maybe).select(*df.columns)
+
+
+def bit_is_set(bits: Column, position: Column) -> Column:
+    """Whether bitmap_construct_agg set a position."""
+    byte = F.ascii(F.decode(bits.substr((F.shiftright(position, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    return F.getbit(byte, (position % 8).cast("int")) == 1
+
+
+def without_keys(ws: Workspace, df: DataFrame, keys: DataFrame, on: Column, key_hash: Column, row_hash: Column, name: str) -> DataFrame:
+    """Anti-join that shuffles only the rows which a bounded filter of the keys lets through."""
+    maybe, none = KeyFilter(ws, keys, key_hash, name).split(df, row_hash)
+    return none.unionByName(maybe.join(keys, on, "left_anti"))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when the counted rows are within the limit; otherwise leave the choice to Spark."""
     return F.broadcast(df) if rows <= limit else df

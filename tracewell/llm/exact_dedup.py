@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, next_pow2
+from .common import KeyFilter, Workspace, bit_is_set, next_pow2, without_keys
 
 #: Bits of one filter block: what bitmap_construct_agg holds.
 BLOCK_BITS = 32768
@@ -64,11 +64,16 @@ def exact_groups(
     merged = _compact(ws, runs)
     hits = ws.table(merged.where("n > 1"), "hits")
 
-    texts = docs.select("doc_id", digest.alias("digest"), text.alias("text")).join(
-        hits.select("digest"), "digest", "left_semi"
+    # The filter of the hits drops the other texts where they are read; equal texts of a task are one
+    # before the shuffle, so a hot group costs a text for each task.
+    texts, _ = KeyFilter(ws, hits, F.xxhash64("digest"), "hit-filter").split(
+        docs.select(digest.alias("digest"), text.alias("text")), F.xxhash64("digest")
     )
     verified = ws.table(
-        texts.groupBy("digest").agg((F.min("text") == F.max("text")).alias("same")), "verified"
+        texts.groupBy("digest")
+        .agg((F.size(F.collect_set("text")) == 1).alias("same"))
+        .join(hits.select("digest"), "digest", "left_semi"),
+        "verified",
     )
     clash = verified.where(~F.col("same"))
     if clash.isEmpty():
@@ -111,7 +116,7 @@ def _compact(ws: Workspace, runs: DataFrame) -> DataFrame:
         "n",
         "w",
         F.coalesce(
-            F.size(F.filter("all", lambda b: _bit(b, F.col("bit")))) > 1, F.lit(False)
+            F.size(F.filter("all", lambda b: bit_is_set(b, F.col("bit")))) > 1, F.lit(False)
         ).alias("maybe"),
     )
     probed = ws.table(probed, "probed")
@@ -122,11 +127,6 @@ def _compact(ws: Workspace, runs: DataFrame) -> DataFrame:
     return alone.unionByName(met)
 
 
-def _bit(bits: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(bits.substr((F.shiftright(position, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (position % 8).cast("int")) == 1
-
-
 def _split_by_text(ws, docs, log, hits, verified, digest, text, winner) -> DataFrame:
     """Digests that different texts share are grouped by (digest, text); their rows are dealt new row ids below 0."""
     clash = verified.where(~F.col("same")).select("digest")
@@ -163,8 +163,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, *, keep: str = "smallest")
         ),
         "dropped",
     )
+    own, key = F.xxhash64("doc_id", sha256(F.col("text"))), F.xxhash64("_id", "_digest")
     at = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha256(F.col("text")) == F.col("_digest"))
-    kept = docs.join(dropped.where(~F.col("_twin")), at, "left_anti")
+    kept = without_keys(ws, docs, dropped.where(~F.col("_twin")), at, key, own, "dropped-filter")
     twins = dropped.where("_twin").distinct()
     if twins.isEmpty():
         return kept
