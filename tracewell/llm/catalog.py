@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, packing, token_files
+from . import decontaminate, exact_dedup, language_id, line_dedup, packing, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,6 +10,9 @@ QUERIES = {
     "op3_hierarchical_packing": packing.op3_hierarchical_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_winnowing_decontamination": decontaminate.op5_winnowing_decontamination,
+    "op7_line_chunks": line_dedup.op7_line_chunks,
+    "op9_rendezvous_sharding": sharding.op9_rendezvous_sharding,
+    "op10_toxicity_chain": toxicity.op10_toxicity_chain,
 }
 
 ORACLE_SQL = {
