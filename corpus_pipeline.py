@@ -1,12 +1,63 @@
-"""Corpus pipeline; its stages are added as their operators are."""
+"""Corpus pipeline: toxicity, exact copies, near copies, benchmark passages, packing.
+
+Every stage takes all rows that the stage before it kept, and its decision takes effect: what it
+rejects is not in its result.  Results are written as Parquet in the shared folder and reread.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tracewell.llm.common import Workspace
+from tracewell.llm.decontaminate import decontaminate
+from tracewell.llm.exact_dedup import exact_dedup
+from tracewell.llm.jaccard_join import near_dedup
+from tracewell.llm.packing import pack
+from tracewell.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents whose toxicity probability reaches the threshold."""
+    return drop_toxic(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the row with the largest id of equal texts."""
+    return exact_dedup(spark, docs, keep="largest")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the row with the smallest id of each group of linked documents."""
+    return near_dedup(spark, docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold windows of two benchmark items or more."""
+    return decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences; one row per piece."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("packing", packing),
+]
+
+#: SQL does not express the trained classifier of the first stage; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ws = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = ws.table(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            ws.drop(f"stage-{k - 1}")
+    return docs

@@ -205,6 +205,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, lea
     ws = Workspace(spark, "winnow-filter")
     found = contamination(spark, docs, items, ws)
     dirty = ws.table(found.where(F.col("n_items") >= least_items).select(F.col("doc_id").alias("_id")).distinct(), "dirty")
+    ws.drop("rows", "met")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     return without_keys(ws, docs, dirty, same, F.xxhash64("_id"), F.xxhash64("doc_id"), "dirty-filter")
 

@@ -163,6 +163,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, *, keep: str = "smallest")
         ),
         "dropped",
     )
+    ws.drop("log", "runs", "probed")
     own, key = F.xxhash64("doc_id", sha256(F.col("text"))), F.xxhash64("_id", "_digest")
     at = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha256(F.col("text")) == F.col("_digest"))
     kept = without_keys(ws, docs, dropped.where(~F.col("_twin")), at, key, own, "dropped-filter")
