@@ -39,11 +39,13 @@ PROBES = [
     ("f16_aadhaar", f"concat(1000 + {K} % 9000, ' ', 2000 + {K} % 7000, CASE WHEN {K} % 2 = 0 THEN ' 1234' ELSE ' 12' END)", normalize.aadhaar, "CASE WHEN length(r) = 14 THEN replace(r, ' ', '') ELSE '' END"),
     ("f17_row_glue", f"concat('E', {K}, CASE WHEN {K} % 2 = 0 THEN ',PERSON,' ELSE ' plain ' END, 'x')", normalize.is_row_glue, "r LIKE '%,PERSON,%'"),
     ("f18_entity", f"concat(' User', {K}, '@Host.com, ')", lambda c: normalize.entity(F.lit("email"), c), "regexp_replace(lower(trim(r)), '[.,;:!?]+$', '')"),
-    ("f19_merge_key", f"concat(CASE WHEN {K} % 2 = 0 THEN 'A-' ELSE 'Very Long Name ' END, 1000000 + {K})", normalize.merge_key,
-     "CASE WHEN r LIKE 'A-%' THEN r[3:] ELSE regexp_replace(lower(r), '[^a-z0-9]', '', 'g') END"),
+    ("f19_merge_key", f"concat(CASE {K} % 3 WHEN 0 THEN 'A/C-' WHEN 1 THEN 'Account No: ' ELSE 'Very Long Name ' END, 1000000 + {K})", normalize.merge_key,
+     "CASE WHEN r LIKE 'Very%' THEN regexp_replace(lower(r), '[^a-z0-9]', '', 'g') ELSE regexp_replace(r, '[^0-9]', '', 'g') END"),
+    ("f20_quoted", f"concat('Paid  Rs. ', {K} % 50, ', TO holder')", lambda c: normalize.quoted(F.lit("rs 7 to holder"), c), "r LIKE '% 7, TO holder'"),
     ("f21_date_iso", f"CASE {K} % 5 WHEN 0 THEN concat('2024-0', 1 + {K} % 9, '-11') WHEN 1 THEN concat({K} % 28 + 1, '/', 1 + {K} % 14, '/24') WHEN 2 THEN 'Sept 5, 2023' WHEN 3 THEN '7 January 2021' ELSE 'no date' END", normalize.date_iso,
      "CASE WHEN r LIKE '2024%' THEN r WHEN r LIKE 'Sept%' THEN '2023-09-05' WHEN r LIKE '7 J%' THEN '2021-01-07' WHEN r LIKE '%/24' AND CAST(string_split(r, '/')[2] AS INTEGER) <= 12 THEN concat('2024-', lpad(string_split(r, '/')[2], 2, '0'), '-', lpad(string_split(r, '/')[1], 2, '0')) END"),
-    ("f23_duration", f"{K} * 97", similarity.human_duration, "CASE WHEN r < 3600 THEN concat(CAST(floor(r / 60.0 + 0.5) AS BIGINT), 'm') WHEN r < 86400 THEN concat(CAST(floor(r / 3600.0 + 0.5) AS BIGINT), 'h') ELSE concat(CAST(floor(r / 86400.0 + 0.5) AS BIGINT), 'd') END"),
+    ("f23_duration", f"{K} * {K} * 397", similarity.human_duration,
+     "CASE WHEN r < 60000 THEN concat(greatest(1, CAST(floor(r / 1000.0 + 0.5) AS BIGINT)), ' seconds') WHEN r < 3600000 THEN concat(CAST(floor(r / 60000.0 + 0.5) AS BIGINT), ' minutes') WHEN r < 86400000 THEN concat(CAST(floor(r / 3600000.0 + 0.5) AS BIGINT), ' hours') ELSE concat(CAST(floor(r / 86400000.0 + 0.5) AS BIGINT), ' days') END"),
     ("f24_luhn", f"concat('', 400000000000000 + {K} * 7919)", checksum.luhn,
      "list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN CAST(r[16 - i] AS INTEGER) WHEN CAST(r[16 - i] AS INTEGER) > 4 THEN CAST(r[16 - i] AS INTEGER) * 2 - 9 ELSE CAST(r[16 - i] AS INTEGER) * 2 END)) % 10 = 0"),
     ("f25_verhoeff", f"concat('', 200000000000 + {K} * 7919)", checksum.verhoeff, None),
@@ -51,6 +53,13 @@ PROBES = [
      "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'[CAST((36 - list_sum(list_transform(range(1, 15), lambda i: ((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', r[i]) - 1) * (2 - i % 2)) // 36 + ((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', r[i]) - 1) * (2 - i % 2)) % 36)) % 36) % 36 + 1 AS INTEGER)] = r[15]"),
     ("f30_verb", f"concat(' transferred - to ', CASE WHEN {K} % 3 = 0 THEN '!!' ELSE concat('x', {K} % 9) END, ' ')", normalize.verb,
      r"upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(r), '[\s-]+', '_', 'g'), '[^A-Za-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g'))"),
+    ("f42_reference", f"concat(CASE {K} % 3 WHEN 0 THEN 'PER-' WHEN 1 THEN '9PER-' ELSE 'Doc_a-' END, {K})", normalize.is_reference, "r NOT LIKE '9%'"),
+    ("f42_reference_key", f"concat('per. ', {K}, '-x_')", normalize.reference_key, "regexp_replace(upper(r), '[^A-Z0-9_-]', '', 'g')"),
+    ("f43_strip_label", f"concat(CASE {K} % 3 WHEN 0 THEN 'IFSC code: ' WHEN 1 THEN 'Reg No # ' ELSE 'Other: ' END, 'V', {K})", normalize.strip_label, "CASE WHEN r LIKE 'Other%' THEN r ELSE regexp_extract(r, '(V[0-9]+)$', 1) END"),
+    ("f44_guess_type", f"CASE {K} % 8 WHEN 0 THEN concat('u', {K}, '@mail.org') WHEN 1 THEN 'name@okbank' WHEN 2 THEN '+44 7000 000000' WHEN 3 THEN 'HDFC0001234' WHEN 4 THEN 'ABCDE1234F' WHEN 5 THEN 'site.example.com' WHEN 6 THEN 'Acme Traders' ELSE 'Jane Mary Doe' END", normalize.guess_type,
+     "CASE WHEN r LIKE '%mail.org' THEN 'email' WHEN r LIKE 'name%' THEN 'upi' WHEN r LIKE '+44%' THEN 'phone' WHEN r LIKE 'HDFC%' THEN 'ifsc' WHEN r LIKE 'ABCDE%' THEN 'document_id' WHEN r LIKE 'site%' THEN 'domain' WHEN r LIKE 'Acme%' THEN 'organization' ELSE 'person' END"),
+    ("x41_reference_token", f"concat(CASE {K} % 4 WHEN 0 THEN '£' WHEN 1 THEN 'R' WHEN 2 THEN 'e-' ELSE '7' END, 'OS', {K} % 100)", normalize.reference_token,
+     "CASE WHEN r LIKE '7%' THEN NULL WHEN r LIKE '£%' THEN concat('E05', r[4:]) WHEN r LIKE 'R%' THEN concat('R05', r[4:]) ELSE concat('E05', r[5:]) END"),
     ("f35_clamp", f"({K} % 40 - 10) / 20.0D", similarity.clamp01, "greatest(0.0, least(1.0, r))"),
 ]
 
@@ -133,10 +142,24 @@ def f38(spark, d):
 
 
 @query(
-    "f41_fts_tokens",
-    "WITH c AS (SELECT conv_id, turn, string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ') AS t FROM conversations) SELECT conv_id, turn, coalesce((SELECT string_agg(w, '|' ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(t) AS w, generate_subscripts(t, 1) AS i) WHERE length(w) >= 4 AND w NOT IN ("
-    + ", ".join(f"'{w}'" for w in similarity.STOP_WORDS)
-    + ") GROUP BY w ORDER BY i LIMIT 10)), '') AS words FROM c",
+    "f39_edge_state",
+    """SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_discount < 0.03 THEN 'uncertain'
+  WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber >= 3 THEN 'corroborated' ELSE 'inferred' END
+  WHEN l_linenumber >= 3 OR (l_returnflag = 'A' AND l_discount >= 0.06) THEN 'corroborated' ELSE 'observed' END AS state FROM lineitem""",
+)
+def f39(spark, d):
+    kind = F.when(F.col("l_returnflag") == "R", "CO_OCCURRED").when(F.col("l_returnflag") == "A", "TRANSFERRED_TO").otherwise("OWNS")
+    conf = F.when(F.col("l_discount") < 0.03, 0.4).when(F.col("l_discount") >= 0.06, 0.95).otherwise(0.7)
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", similarity.edge_state(kind, F.col("l_linenumber"), conf, F.lit(None).cast("string")).alias("state")
+    )
+
+
+@query(
+    "f41_claim_tokens",
+    r"""WITH c AS (SELECT conv_id, turn, regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}\s@._-]', ' ', 'g'), '\s+') AS t FROM conversations)
+SELECT conv_id, turn, coalesce((SELECT string_agg(w, '|' ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(t) AS w, generate_subscripts(t, 1) AS i)
+  WHERE length(w) >= 4 AND w NOT IN (""" + ", ".join(f"'{w}'" for w in similarity.CLAIM_STOP_WORDS) + """) GROUP BY w ORDER BY i LIMIT 10)), '') AS words FROM c""",
 )
 def f41(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(similarity.fts_tokens(F.col("text")), "|").alias("words"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(similarity.claim_tokens(F.col("text")), "|").alias("words"))

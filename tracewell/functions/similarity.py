@@ -59,15 +59,33 @@ def amounts_differ(a: Column, b: Column) -> Column:
     return (gap > 1) & (gap > 0.005 * F.greatest(F.abs(a), F.abs(b)))
 
 
-def human_duration(seconds: Column) -> Column:
+def human_duration(ms: Column) -> Column:
+    """A duration in milliseconds, in its largest unit; at least one second."""
+    n = lambda per, unit: F.concat(half_up(ms / per).cast("string"), F.lit(unit))
     return (
-        F.when(seconds < 3600, F.concat(half_up(seconds / 60).cast("string"), F.lit("m")))
-        .when(seconds < 86400, F.concat(half_up(seconds / 3600).cast("string"), F.lit("h")))
-        .otherwise(F.concat(half_up(seconds / 86400).cast("string"), F.lit("d")))
+        F.when(ms < 60_000, F.concat(F.greatest(F.lit(1).cast("bigint"), half_up(ms / 1000)).cast("string"), F.lit(" seconds")))
+        .when(ms < 3_600_000, n(60_000, " minutes"))
+        .when(ms < 86_400_000, n(3_600_000, " hours"))
+        .otherwise(n(86_400_000, " days"))
     )
 
 
-def fts_tokens(c: Column, most: int = 10) -> Column:
-    """Distinct words of four letters or more, at most ``most``, in order."""
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " ")
-    return F.slice(F.array_distinct(F.filter(F.split(t, " "), lambda x: (F.length(x) >= 4) & ~x.isin(*STOP_WORDS))), 1, most)
+#: Words that say nothing about a claim.
+CLAIM_STOP_WORDS = "the a an is are was and or of to in on with that this may might be connect connected same person entity account".split()
+
+
+def claim_tokens(c: Column, most: int = 10) -> Column:
+    """Distinct words of four characters or more that are no stop words, at most ``most``, in order."""
+    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^\\p{L}\\p{N}\\s@._-]", " ")
+    return F.slice(F.array_distinct(F.filter(F.split(t, "\\s+"), lambda x: (F.length(x) >= 4) & ~x.isin(*CLAIM_STOP_WORDS))), 1, most)
+
+
+def edge_state(kind: Column, weight: Column, confidence: Column, provenance: Column) -> Column:
+    """How well an edge is known: uncertain, inferred, corroborated or observed."""
+    derived = F.coalesce(provenance, F.lit("")).contains("co-occurrence") | (kind == "CO_OCCURRED")
+    return (
+        F.when(confidence < 0.5, "uncertain")
+        .when(derived, F.when(weight >= 3, "corroborated").otherwise("inferred"))
+        .when((weight >= 3) | ((kind == "TRANSFERRED_TO") & (confidence >= 0.9)), "corroborated")
+        .otherwise("observed")
+    )
