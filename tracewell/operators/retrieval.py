@@ -68,7 +68,7 @@ def q04(spark, d):
     return entities(spark, d).where(F.lower("value").contains("00011")).orderBy("id").limit(20).select("id", "value")
 
 
-@query("q05_timeline_answer", f"WITH {TX} SELECT sender, min_by(id, us * 1000000 + id) AS first_id, max_by(id, us * 1000000 + id) AS last_id FROM t GROUP BY 1")
+@query("q05_timeline_answer", f"WITH {TX} SELECT sender, min_by(id, CAST(us AS HUGEINT) * 1000000 + id) AS first_id, max_by(id, CAST(us AS HUGEINT) * 1000000 + id) AS last_id FROM t GROUP BY 1")
 def q05(spark, d):
     at = F.struct("us", "id")
     return transactions(spark, d).groupBy("sender").agg(F.min_by("id", at).alias("first_id"), F.max_by("id", at).alias("last_id"))
