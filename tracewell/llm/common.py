@@ -97,23 +97,42 @@ class KeyFilter:
 
     def split(self, df: DataFrame, key_hash: Column) -> tuple[DataFrame, DataFrame]:
         """(rows that may hold a key, rows that hold none); together they are ``df``."""
-        marked = df.withColumns({"_block": self._block(key_hash), "_bit": self._bit(key_hash)}).join(
-            F.broadcast(self.table), "_block", "left"
-        )
-        maybe = F.coalesce(bit_is_set(F.col("_bits"), F.col("_bit")), F.lit(False))
+        block, bit, bits = fresh(df, 3)
+        table = self.table.select(F.col("_block").alias(block), F.col("_bits").alias(bits))
+        marked = df.withColumns({block: self._block(key_hash), bit: self._bit(key_hash)}).join(F.broadcast(table), block, "left")
+        maybe = F.coalesce(bit_is_set(F.col(bits), F.col(bit)), F.lit(False))
         return marked.where(maybe).select(*df.columns), marked.where(~maybe).select(*df.columns)
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """Column names that ``df`` does not have."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (name := f"tw_{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
+
+
 def bit_is_set(bits: Column, position: Column) -> Column:
     """Whether bitmap_construct_agg set a position."""
     byte = F.ascii(F.decode(bits.substr((F.shiftright(position, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
     return F.getbit(byte, (position % 8).cast("int")) == 1
 
 
-def without_keys(ws: Workspace, df: DataFrame, keys: DataFrame, on: Column, key_hash: Column, row_hash: Column, name: str) -> DataFrame:
-    """Anti-join that shuffles only the rows which a bounded filter of the keys lets through."""
-    maybe, none = KeyFilter(ws, keys, key_hash, name).split(df, row_hash)
-    return none.unionByName(maybe.join(keys, on, "left_anti"))
+def by_keys(ws: Workspace, df: DataFrame, keys: DataFrame, values: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose ``values`` are a row of ``keys``, the other rows); nulls equal nulls.
+
+    Only the rows which a bounded filter of the keys lets through are shuffled.
+    """
+    names = fresh(df, len(values))
+    keys = keys.toDF(*names)
+    on = None
+    for value, key in zip(values, names):
+        same = value.eqNullSafe(F.col(key))
+        on = same if on is None else on & same
+    maybe, none = KeyFilter(ws, keys, F.xxhash64(*names), name).split(df, F.xxhash64(*values))
+    return maybe.join(keys, on, "left_semi"), none.unionByName(maybe.join(keys, on, "left_anti"))
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

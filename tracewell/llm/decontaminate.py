@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower, broadcast_if_small, next_pow2, without_keys
+from .common import Workspace, ascii_lower, broadcast_if_small, by_keys, next_pow2
 
 K = 4
 WINDOW = 5
@@ -163,6 +163,13 @@ def contamination(
     )
 
 
+def _window_of(n: int):
+    """A function of one place alone: a second argument would get the place's number in the array."""
+    return lambda a: F.struct(
+        F.lit(n).alias("len"), a.alias("at"), F.concat_ws(" ", F.slice("w", a + 1, F.lit(n))).alias("window")
+    )
+
+
 def _scan(docs: DataFrame, bitmap: Column, bits: int, n_prints: int, short: list[int]) -> DataFrame:
     """One pass over the texts: word counts, and the candidates with the words around them."""
     w = docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), words(F.col("text")).alias("w"))
@@ -186,15 +193,7 @@ def _scan(docs: DataFrame, bitmap: Column, bits: int, n_prints: int, short: list
     brief = F.array().cast("array<struct<len:int,at:int,window:string>>")
     for n in short:
         at = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(none)
-        brief = F.concat(
-            brief,
-            F.transform(
-                at,
-                lambda a, n=n: F.struct(
-                    F.lit(n).alias("len"), a.alias("at"), F.concat_ws(" ", F.slice("w", a + 1, F.lit(n))).alias("window")
-                ),
-            ),
-        )
+        brief = F.concat(brief, F.transform(at, _window_of(n)))
     return kept.select(
         "row_id", "doc_id", size.alias("n_words"), F.transform("kept", around).alias("near"), brief.alias("brief")
     )
@@ -204,10 +203,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, lea
     """``docs`` without the rows that hold windows of ``least_items`` benchmark items or more."""
     ws = Workspace(spark, "winnow-filter")
     found = contamination(spark, docs, items, ws)
-    dirty = ws.table(found.where(F.col("n_items") >= least_items).select(F.col("doc_id").alias("_id")).distinct(), "dirty")
+    dirty = ws.table(found.where(F.col("n_items") >= least_items).select("doc_id").distinct(), "dirty")
     ws.drop("rows", "met")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return without_keys(ws, docs, dirty, same, F.xxhash64("_id"), F.xxhash64("doc_id"), "dirty-filter")
+    return by_keys(ws, docs, dirty, [F.col("doc_id")], "dirty-filter")[1]
 
 
 def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

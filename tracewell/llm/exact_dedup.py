@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Workspace, bit_is_set, next_pow2, without_keys
+from .common import KeyFilter, Workspace, bit_is_set, by_keys, next_pow2
 
 #: Bits of one filter block: what bitmap_construct_agg holds.
 BLOCK_BITS = 32768
@@ -156,23 +156,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, *, keep: str = "smallest")
     dropped = ws.table(
         exact_groups(spark, docs, keep=keep, workspace=ws)
         .where(~F.col("kept"))
-        .select(
-            F.col("doc_id").alias("_id"),
-            F.col("digest").alias("_digest"),
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_twin"),
-        ),
+        .select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("twin")),
         "dropped",
     )
     ws.drop("log", "runs", "probed")
-    own, key = F.xxhash64("doc_id", sha256(F.col("text"))), F.xxhash64("_id", "_digest")
-    at = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha256(F.col("text")) == F.col("_digest"))
-    kept = without_keys(ws, docs, dropped.where(~F.col("_twin")), at, key, own, "dropped-filter")
-    twins = dropped.where("_twin").distinct()
+    values = [F.col("doc_id"), sha256(F.col("text"))]
+    _, kept = by_keys(ws, docs, dropped.where("NOT twin").select("doc_id", "digest"), values, "dropped-filter")
+    twins = dropped.where("twin").select("doc_id", "digest").distinct()
     if twins.isEmpty():
         return kept
-    return kept.join(twins, at, "left_anti").unionByName(
-        kept.join(twins, at, "left_semi").dropDuplicates(["doc_id", "text"])
-    )
+    same, other = by_keys(ws, kept, twins, values, "twin-filter")
+    return other.unionByName(same.dropDuplicates(["doc_id", "text"]))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

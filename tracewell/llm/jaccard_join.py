@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Workspace, ship
+from .common import KeyFilter, Workspace, by_keys, ship
 from .components import components
 from .lm_scoring import _cut
+from .tokens import batches_by_bytes
 
 SHINGLE = 4
 #: Similarity as a share of 100: 100 * intersection >= PERCENT * union.
@@ -44,52 +46,88 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of whole texts; A-Z are lower-cased."""
+    """Sorted distinct 64-bit shingle hashes of whole texts, many at a time; A-Z are lower-cased."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """One array for each text of an Arrow string array; a distinct word of it is hashed once."""
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        found = list(map(known.get, words))
-        for i, h in enumerate(found):
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        bounds = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        hashes = list(map(known.get, words))
+        for i, h in enumerate(hashes):
             if h is None:
-                found[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        h = np.array(found, np.uint64)
-        n = min(SHINGLE, len(h))
-        out = np.full(len(h) - n + 1, n, np.uint64)
-        for j in range(n):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - n + 1 + j])
-        return np.unique(out)
+                hashes[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        full = np.array([w != "" for w in words], bool)[at] if words else np.empty(0, bool)
+        h = np.array(hashes, np.uint64)[at[full]] if words else np.empty(0, np.uint64)
+        sizes = np.diff(np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]).tolist()
+        four = self._chain([h[j : len(h) - SHINGLE + 1 + j] for j in range(SHINGLE)]) if len(h) >= SHINGLE else h[:0]
+        out, at = [], 0
+        for n in sizes:
+            if n >= SHINGLE:
+                x = np.sort(four[at : at + n - SHINGLE + 1])
+                out.append(x[np.append(True, x[1:] != x[:-1])])
+            else:  # the whole sequence is one shingle
+                out.append(self._chain([h[at + j : at + j + 1] for j in range(n)]) if n else h[:0])
+            at += n
+        return out
+
+    @staticmethod
+    def _chain(parts: list[np.ndarray]) -> np.ndarray:
+        """One hash of a sequence of word hashes and its length."""
+        x = np.full(len(parts[0]), len(parts), np.uint64)
+        for p in parts:
+            x = x * np.uint64(0x9E3779B97F4A7C15) + p
+        return _mix(x)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def ordered_prefix(tokens: np.ndarray, frequent: np.ndarray, seed: int, percent: int = PERCENT) -> np.ndarray:
-    """The first tokens under one order: by frequency rank (rare ones 0), then by a seeded hash.
+class Orders:
+    """Prefixes under the orders: by frequency rank (rare tokens 0), then by a seeded hash.
 
-    ``frequent`` is sorted, its columns are token and rank.
+    ``frequent`` is sorted by token, its columns are token and rank.
     """
-    rank = np.zeros(len(tokens), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent[:, 0], tokens), len(frequent) - 1)
-        rank = np.where(frequent[at, 0] == tokens, frequent[at, 1].astype(np.int64), 0)
-    by = np.lexsort((_mix(tokens ^ np.uint64(seed)), rank))
-    return tokens[by[: prefix_length(len(tokens), percent)]]
 
+    MASK = np.uint64((1 << 22) - 1)
 
-def _texts(batches, step: int = 500):
-    for batch in batches:
-        for a in range(0, batch.num_rows, step):
-            part = batch.slice(a, step)
-            yield part, part.column("text").to_pylist()
+    def __init__(self, frequent: np.ndarray, percent: int = PERCENT):
+        self.frequent, self.percent = frequent, percent
+        self.maybe = np.zeros(int(self.MASK) + 1, bool)
+        self.maybe[(frequent[:, 0] & self.MASK).astype(np.int64)] = True
+
+    def ranks(self, tokens: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(tokens), np.int64)
+        look = np.flatnonzero(self.maybe[(tokens & self.MASK).astype(np.int64)])
+        if len(look):
+            own = tokens[look]
+            at = np.minimum(np.searchsorted(self.frequent[:, 0], own), len(self.frequent) - 1)
+            rank[look] = np.where(self.frequent[at, 0] == own, self.frequent[at, 1].astype(np.int64), 0)
+        return rank
+
+    def prefix(self, tokens: np.ndarray, rank: np.ndarray, seed: int) -> np.ndarray:
+        """The first tokens under one order, in that order."""
+        n = prefix_length(len(tokens), self.percent)
+        key = _mix(tokens ^ np.uint64(seed))
+        rare = np.flatnonzero(rank == 0)
+        if len(rare) > n:
+            own = key[rare]
+            return tokens[rare[(near := np.argpartition(own, n)[:n])[np.argsort(own[near])]]]
+        return tokens[np.lexsort((key, rank))[:n]]
+
+
+def _texts(batches):
+    for part in batches_by_bytes(batches, "text", 4 << 20):
+        yield part, part.column("text")
 
 
 def frequent_tokens(docs: DataFrame, ws: Workspace) -> np.ndarray:
@@ -111,9 +149,8 @@ def frequent_tokens(docs: DataFrame, ws: Workspace) -> np.ndarray:
                 )
 
         for _, texts in _texts(batches):
-            for text in texts:
-                tokens = shingle(text)
-                key = xxhash.xxh3_128_digest(tokens.tobytes())
+            for tokens in shingle(texts):
+                key = xxhash.xxh3_128_digest(tokens)
                 if key not in seen:
                     seen.add(key)
                     waiting.append(tokens)
@@ -140,19 +177,18 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFram
     """doc_id, n, sig and the prefix under order 1 (null where the task has had the same set)."""
 
     def run(batches):
-        shingle, seen = Shingler(), set()
+        shingle, orders, seen = Shingler(), Orders(frequent, percent), set()
         for part, texts in _texts(batches):
             n, sig, prefix = [], [], []
-            for text in texts:
-                tokens = shingle(text)
-                key = xxhash.xxh3_128_digest(tokens.tobytes())
+            for tokens in shingle(texts):
+                key = xxhash.xxh3_128_digest(tokens)
                 n.append(len(tokens))
                 sig.append(key)
                 if key in seen:
                     prefix.append(None)
                 else:
                     seen.add(key)
-                    prefix.append(ordered_prefix(tokens, frequent, SEEDS[0], percent).view(np.int64))
+                    prefix.append(orders.prefix(tokens, orders.ranks(tokens), SEEDS[0]).view(np.int64))
             if len(seen) > 1_000_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
@@ -167,11 +203,12 @@ def _sets(docs: DataFrame, ids: DataFrame, frequent: np.ndarray, ws: Workspace,
     """id, tokens and the prefixes under orders 2 and 3 (as 32-bit ints, which can only let more through)."""
 
     def run(batches):
-        shingle = Shingler()
+        shingle, orders = Shingler(), Orders(frequent, percent)
         for part, texts in _texts(batches):
-            sets = [shingle(t) for t in texts]
+            sets = shingle(texts)
+            ranks = [orders.ranks(t) for t in sets]
             second, third = (
-                [ordered_prefix(t, frequent, s, percent).astype(np.uint32).view(np.int32) for t in sets] for s in SEEDS[1:]
+                [orders.prefix(t, r, s).astype(np.uint32).view(np.int32) for t, r in zip(sets, ranks)] for s in SEEDS[1:]
             )
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), pa.array([t.view(np.int64) for t in sets], pa.list_(pa.int64()))]
@@ -275,13 +312,11 @@ def similar_components(spark: SparkSession, docs: DataFrame, *, percent: int = P
 
 def near_dedup(spark: SparkSession, docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group of linked documents: the one with the smallest id."""
-    from .common import without_keys
-
     ws = Workspace(spark, "near")
     found = similar_components(spark, docs, percent=percent, workspace=ws)
-    gone = ws.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    gone = ws.table(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     ws.drop("rows", "nodes")
-    return without_keys(ws, docs, gone, F.col("doc_id") == F.col("_id"), F.xxhash64("_id"), F.xxhash64("doc_id"), "gone-filter")
+    return by_keys(ws, docs, gone, [F.col("doc_id").cast("long")], "gone-filter")[1]
 
 
 def op8_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, ship, without_keys
+from .common import Workspace, by_keys, ship
 
 FEATURES = 1 << 18
 #: Lengths of the word beginnings that are features of their own, so inflected forms share weight.
@@ -261,9 +261,8 @@ def toxic_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Dat
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text is toxic; rows are matched by id."""
     ws = Workspace(spark, "toxic")
-    bad = ws.table(toxic_scores(spark, docs, labels).where("toxic").select(F.col("doc_id").alias("_id")).distinct(), "bad")
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return without_keys(ws, docs, bad, same, F.xxhash64("_id"), F.xxhash64("doc_id"), "bad-filter")
+    bad = ws.table(toxic_scores(spark, docs, labels).where("toxic").select("doc_id").distinct(), "bad")
+    return by_keys(ws, docs, bad, [F.col("doc_id")], "bad-filter")[1]
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
