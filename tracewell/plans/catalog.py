@@ -12,6 +12,7 @@ for _name in (
     "operators.money",
     "operators.patterns",
     "operators.temporal",
+    "operators.risk",
     "operators.graph",
     "operators.relational",
     "operators.extract",
