@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,25 +48,23 @@ class Shingler:
     """Sorted distinct 64-bit shingle hashes of whole texts, many at a time; A-Z are lower-cased."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        """One array for each text of an Arrow string array; a distinct word of it is hashed once."""
-        known = self.known
+        """One array for each text of an Arrow string array; bytes.lower and bytes.split know ASCII alone."""
+        known, words, sizes = self.known, [], []
+        for text in texts.to_pylist():
+            own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            sizes.append(len(own))
+            words += own
         if len(known) > CACHE_WORDS:
             known.clear()
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-        bounds = parts.offsets.to_numpy()
-        coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
         hashes = list(map(known.get, words))
         for i, h in enumerate(hashes):
             if h is None:
-                hashes[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        full = np.array([w != "" for w in words], bool)[at] if words else np.empty(0, bool)
-        h = np.array(hashes, np.uint64)[at[full]] if words else np.empty(0, np.uint64)
-        sizes = np.diff(np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]).tolist()
+                w = words[i]
+                hashes[i] = known[w] = xxhash.xxh3_64_intdigest(w)
+        h = np.array(hashes, np.uint64)
         four = self._chain([h[j : len(h) - SHINGLE + 1 + j] for j in range(SHINGLE)]) if len(h) >= SHINGLE else h[:0]
         out, at = [], 0
         for n in sizes:
