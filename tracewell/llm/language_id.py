@@ -107,7 +107,7 @@ def train(spark: SparkSession, rows: DataFrame, *, sample: int = SAMPLE, centroi
     by a hash of the id, first by a share that fits the language's row count and then exactly.
     """
     ship(spark)
-    known = rows.where("lang IS NOT NULL AND text IS NOT NULL")
+    known = rows.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     order = F.xxhash64("doc_id")
     drawn = (
@@ -162,8 +162,9 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFr
     ``und`` with score 0 for a null text or one without a letter, and where nothing was learnt.
     """
     ship(spark)
-    others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
+    own = ("text", "lang_pred", "score", "rejected")  # columns of these names are not carried over
+    others = [c for c in docs.columns if c not in own]
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c not in own)
     step = 256
 
     def run(batches):
