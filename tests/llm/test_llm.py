@@ -387,6 +387,40 @@ def test_line_chunks(spark, odd, empty):
     assert line_dedup.line_dedup(spark, empty).collect() == []
 
 
+def brute_lines(rows, most=50):
+    """Lines with words in a run of more than ``most`` words that occurs at an earlier place and does not overlap it."""
+    docs = [(i, t.split("\n")) for i, t in sorted(rows)]
+    places, gone = {}, {i: set() for i, _ in docs}
+    for i, lines in docs:
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if lines[a].split() and lines[b].split() and len(" ".join(lines[a : b + 1]).split()) > most:
+                    run = tuple(lines[a : b + 1])
+                    first = places.setdefault(run, (i, b))
+                    if first[0] != i or a > first[1]:
+                        gone[i] |= set(range(a, b + 1))
+    return gone
+
+
+def test_short_line_passages_go_whole(spark):
+    rnd = random.Random(11)
+    line = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    passages = [[line(27), line(27)] for _ in range(30)] + [[line(19), line(15), line(20)] for _ in range(30)]
+    passages += [[line(40), line(45), line(5)], [line(30), "", line(10), line(30)], [line(20)] * 9, [line(25), line(25)]]
+    rows, k = [], 0
+    for passage in passages:
+        for _ in range(2):
+            k += 1
+            rows.append((k, "\n".join([line(4) for _ in range(rnd.randrange(3))] + passage + [line(6) for _ in range(rnd.randrange(3))])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows)
+    for r in line_dedup.line_dedup(spark, d).collect():
+        cut = {x for s in r.removed_spans for x in range(s.a, s.b + 1)}
+        # What the chunks remove besides (under 51 words) is repeated too: only the last passage.
+        assert cut >= want[r.doc_id] and (cut == want[r.doc_id] or r.doc_id > k - 4)
+        assert r.n_removed == len(cut)
+
+
 def brute_shard(key, shards):
     draw = lambda s: (int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
     return max(shards, key=lambda s: (-1 / np.log(draw(s)), -s))

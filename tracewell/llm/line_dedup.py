@@ -5,6 +5,11 @@ Lines are hashed; a rolling hash over ``ROLL`` line hashes ends a chunk where it
 nearby lines alone, so an insertion elsewhere in a document does not shift them.  A chunk of two
 lines or more, or of one long line, that occurs more than once in the corpus is removed wherever it
 occurs but first (smallest doc_id, then the earliest place), after its bytes were compared.
+
+Chunks miss short passages, so the same is done with windows: from each line with words the shortest
+run of lines, forward and backward, of more than ``PASSAGE`` words.  Every line with words of a run of
+more than ``PASSAGE`` words is in such a window inside the run, so a repeated run goes whole, whatever
+its boundaries.  A piece that overlaps its first occurrence stays.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from .common import KeyFilter, Workspace
 ROLL = 2
 DIVISOR = 2
 LONG_LINE = 40
+PASSAGE = 50
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -49,19 +55,65 @@ def chunked(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", "row_id", "lines", "long", spans.alias("spans"))
 
 
+def _reach(words: Column, name: str, base: DataFrame) -> DataFrame:
+    """``base`` with the array ``name``: for each place the last one of its window, or the size if it has none.
+
+    Each entry of ``words`` is 1 or more, so a window has at most ``PASSAGE`` + 1 of them; sums over
+    runs of powers of two find its end in as many steps, in time that is linear in the lines.
+    """
+    much = F.lit(1 << 40)
+    base = base.withColumn("sum0", F.transform(words, lambda w: w.cast("long")))
+    steps = PASSAGE.bit_length()
+    for k in range(1, steps):
+        base = base.withColumn(f"sum{k}", _doubled(f"sum{k - 1}", 1 << (k - 1), much))
+    base = base.withColumn(name, F.transform("sum0", lambda x, i: F.struct(i.alias("at"), F.lit(PASSAGE).cast("long").alias("left"))))
+    for k in reversed(range(steps)):
+        base = base.withColumn(name, _jumped(name, f"sum{k}", 1 << k, much))
+    return base.withColumn(name, F.transform(name, lambda p: p["at"])).drop(*(f"sum{k}" for k in range(steps)))
+
+
+def _doubled(sums: str, by: int, much: Column) -> Column:
+    return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i + by), much))
+
+
+def _jumped(name: str, sums: str, by: int, much: Column) -> Column:
+    def jump(p: Column) -> Column:
+        s = F.coalesce(F.get(sums, p["at"]), much)
+        fits = s <= p["left"]
+        return F.struct(
+            F.when(fits, p["at"] + by).otherwise(p["at"]).alias("at"), F.when(fits, p["left"] - s).otherwise(p["left"]).alias("left")
+        )
+
+    return F.transform(name, jump)
+
+
 def _pieces(base: DataFrame) -> DataFrame:
-    """A row for each chunk that may be removed: doc_id, row_id, a, b, chunk."""
-    piece = F.explode(
-        F.filter("spans", lambda s: (s["b"] > s["a"]) | F.get("long", s["a"]))
-    ).alias("s")
-    rows = base.select("doc_id", "row_id", "lines", piece)
-    return rows.select(
-        "doc_id",
-        "row_id",
-        F.col("s.a").alias("a"),
-        F.col("s.b").alias("b"),
-        F.array_join(F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1), "\n").alias("chunk"),
-    )
+    """A row for each chunk or window that may be removed: doc_id, row_id, a, b, chunk."""
+    spans = F.transform(F.filter("spans", lambda s: (s["b"] > s["a"]) | F.get("long", s["a"])), lambda s: _pair(s["a"], s["b"]))
+    rows = base.select("doc_id", "row_id", "lines", spans.alias("pairs"))
+    rows = rows.withColumn("words", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
+    rows = rows.withColumn("full", F.filter(F.transform("words", lambda w, i: F.when(w > 0, i)), lambda i: i.isNotNull()))
+    rows = rows.withColumn("words", F.filter("words", lambda w: w > 0)).withColumn("size", F.size("words"))
+    rows = _reach(F.col("words"), "ahead", rows)
+    rows = _reach(F.reverse("words"), "back", rows)
+    none = F.lit(None).cast("long")
+    ahead = F.transform("ahead", lambda e, i: F.when(e < F.col("size"), _pair(F.get("full", i), F.get("full", e))).otherwise(none))
+    last = F.col("size") - 1
+    back = F.transform("back", lambda e, i: F.when(e < F.col("size"), _pair(F.get("full", last - e), F.get("full", last - i))).otherwise(none))
+    pairs = F.filter(F.array_union("pairs", F.array_union(ahead, back)), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", "row_id", "lines", pairs.alias("pairs"))
+
+    def piece(x):
+        a, b = F.shiftright(x, 32).cast("int"), F.pmod(x, F.lit(1 << 32)).cast("int")
+        return F.struct(a.alias("a"), b.alias("b"), F.array_join(F.slice("lines", a + 1, b - a + 1), "\n").alias("chunk"))
+
+    rows = rows.select("doc_id", "row_id", F.explode(F.transform("pairs", piece)).alias("s"))
+    return rows.select("doc_id", "row_id", "s.a", "s.b", "s.chunk")
+
+
+def _pair(a: Column, b: Column) -> Column:
+    """Two line numbers as one long, which array functions compare by hash."""
+    return F.shiftleft(a.cast("long"), 32) + b
 
 
 def repeated_chunks(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -73,6 +125,8 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Data
     repeated = ws.table(
         index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1"), "repeated"
     )
+    # Neither the first place itself nor one that overlaps it.
+    later = ~F.col("row_id").eqNullSafe(F.col("first.row_id")) | (F.col("a") > F.col("first.a") + F.col("b") - F.col("a"))
     # Bytes are compared where a key repeats; the filter drops all other chunks where they are read,
     # and equal chunks of a task are one before the shuffle.
     maybe, _ = KeyFilter(ws, repeated, F.col("key"), "repeated-filter").split(keyed.select("key", "chunk"), F.col("key"))
@@ -83,9 +137,7 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Data
         .join(repeated, "key")
     )
     same = ws.table(same, "same")
-    gone = index.join(same.where("same"), "key").where(
-        ~F.struct("doc_id", "row_id", "a").eqNullSafe(F.col("first"))
-    ).select("row_id", "a", "b")
+    gone = index.join(same.where("same"), "key").where(later).select("row_id", "a", "b")
     clash = same.where(~F.col("same")).select("key")
     if clash.isEmpty():
         return gone
@@ -94,7 +146,7 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Data
     own = rows.groupBy("chunk").agg(first.alias("first"))
     return gone.unionByName(
         rows.join(own, "chunk")
-        .where(~F.struct("doc_id", "row_id", "a").eqNullSafe(F.col("first")))
+        .where(later)
         .select("row_id", "a", "b")
     )
 
@@ -102,7 +154,8 @@ def repeated_chunks(spark: SparkSession, docs: DataFrame, ws: Workspace) -> Data
 def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_lines, n_removed, n_chunks_removed, removed_spans, clean_text.
 
-    A null text has no lines and stays null; an empty one has one empty line.  Rows that repeat an id
+    ``n_chunks_removed`` counts the removed chunks and windows, which may share lines.  A null text has
+    no lines and stays null; an empty one has one empty line.  Rows that repeat an id
     are separate documents, whose first row keeps the chunk.  An empty table gives no rows.
     """
     ws = Workspace(spark, "lines")
@@ -118,7 +171,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = hit.join(gone, "row_id", "left").unionByName(clean.withColumn("gone", none))
     lines = F.split("text", "\n", -1)
     spans = F.coalesce("gone", F.array().cast("array<struct<a:int,b:int>>"))
-    dead = F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"])))
+    dead = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"]))))
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("dead"), i))
     return (
         found.withColumn("spans", spans)
