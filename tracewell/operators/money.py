@@ -196,6 +196,9 @@ def trace(t: DataFrame, account: str, hops: int, backward: bool = False) -> Data
 def circular_flows(t: DataFrame, hops: int = DEFAULT.max_hops) -> DataFrame:
     """Closed transfer paths of 2 to ``hops`` transfers, one for each set of ids, started at its smallest id."""
     step = t.where("sender <> receiver").select(F.col("sender").alias("at"), F.col("receiver").alias("next"), "id")
+    # Every account of a cycle both sends and receives.
+    sends, receives = step.select(F.col("at").alias("next")).distinct(), step.select(F.col("next").alias("at")).distinct()
+    step = step.join(sends, "next", "left_semi").join(receives, "at", "left_semi")
     live = step.select(
         F.col("at").alias("start"), F.col("next").alias("at"), F.array("id").alias("path"), F.array("at", "next").alias("accounts")
     )
@@ -260,16 +263,33 @@ def _paths(p: DataFrame) -> DataFrame:
     return p.select(F.concat_ws(",", F.col("path").cast("array<string>")).alias("path"), F.size("path").alias("hops"), "ends")
 
 
+def _account_paths(t: DataFrame) -> DataFrame:
+    return trace(t, "U7", 4).select(F.concat_ws(">", "accounts").alias("accounts")).distinct()
+
+
 @query("m04_trace_forward", _TRACE.format(tx=TX, acc="U7", a="sender", b="receiver", hops=4))
 def m04(spark, d):
     return _paths(trace(one_day(transactions(spark, d)), "U7", 4))
 
 
+# The statements in SQL hold for one or a few days; the queries *_all take every transaction.
+
+
+@query("m04_trace_forward_all")
+def m04_all(spark, d):
+    return _paths(trace(transactions(spark, d), "U7", 4))
+
+
 @query("m05_trace_backward", _TRACE.format(tx=TX, acc="U7", a="receiver", b="sender", hops=4))
 def m05(spark, d):
     return _paths(trace(one_day(transactions(spark, d)), "U7", 4, backward=True))
 
 
+@query("m05_trace_backward_all")
+def m05_all(spark, d):
+    return _paths(trace(transactions(spark, d), "U7", 4, backward=True))
+
+
 @query(
     "m06_account_paths",
     "SELECT DISTINCT accounts FROM ("
@@ -279,8 +299,12 @@ def m05(spark, d):
     + ")",
 )
 def m06(spark, d):
-    p = trace(one_day(transactions(spark, d)), "U7", 4)
-    return p.select(F.concat_ws(">", "accounts").alias("accounts")).distinct()
+    return _account_paths(one_day(transactions(spark, d)))
+
+
+@query("m06_account_paths_all")
+def m06_all(spark, d):
+    return _account_paths(transactions(spark, d))
 
 
 _FAN = """WITH {tx} SELECT {own} AS account, count(DISTINCT {other}) AS counterparties, count(*) AS n,
@@ -309,7 +333,16 @@ r AS (SELECT sender AS start, receiver AS at, [id] AS path, [sender, receiver] A
     f"WITH RECURSIVE {TX}{CYCLES} SELECT DISTINCT array_to_string(list_sort(path), ',') AS txn_ids, CAST(len(path) AS INTEGER) AS hops FROM r WHERE closed",
 )
 def m08(spark, d):
-    c = circular_flows(one_day(transactions(spark, d), last="2024-01-09"))
+    return _cycles(one_day(transactions(spark, d), last="2024-01-09"))
+
+
+@query("m08_circular_flows_all")
+def m08_all(spark, d):
+    return _cycles(transactions(spark, d))
+
+
+def _cycles(t: DataFrame) -> DataFrame:
+    c = circular_flows(t)
     return c.select(F.concat_ws(",", F.array_sort("path").cast("array<string>")).alias("txn_ids"), F.size("path").alias("hops")).distinct()
 
 
