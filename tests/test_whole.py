@@ -86,3 +86,11 @@ def test_cycles_of_all_days(spark, events):
 
 def test_temporal_sync_of_all_days(spark, events):
     assert "U20|U21" in {r.subject for r in catalog.QUERIES["p11_temporal_sync"](spark, events[0]).collect()}
+
+
+def test_bursts_of_all_rows(spark, events):
+    path, transfers = events
+    days = Counter(t.strftime("%Y-%m-%d") for *_, t in transfers)
+    want = {(d, n) for d, n in days.items() if n > 3 and n > 2 * len(transfers) / len(days)}
+    assert ("2024-02-03", days["2024-02-03"]) in want
+    assert {(r.day, r.n) for r in catalog.QUERIES["a01_day_bursts_all"](spark, path).collect()} == want
