@@ -94,3 +94,49 @@ def test_bursts_of_all_rows(spark, events):
     want = {(d, n) for d, n in days.items() if n > 3 and n > 2 * len(transfers) / len(days)}
     assert ("2024-02-03", days["2024-02-03"]) in want
     assert {(r.day, r.n) for r in catalog.QUERIES["a01_day_bursts_all"](spark, path).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def case(spark, tmp_path_factory):
+    """(folder, customers as (key, name), links): keys beyond 1.. and orders beyond 3000."""
+    path = str(tmp_path_factory.mktemp("case"))
+    customers = [(k, n) for k, n in ((1, "ann lee"), (10, "ann lea"), (20, "bob ray"), (305, "bob rax"), (306, "a far longer name"), (402, "x"))]
+    orders = [(7, 1), (8, 10), (701, 20), (5001, 305), (9000, 306)]
+    items = [(701, 2), (9001, 20), (9003, 20)]
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    put([(0, "ASIA")], "r_regionkey int, r_name string", "region")
+    put([(0, 0)], "n_nationkey int, n_regionkey int", "nation")
+    put([(k, n, 0, 1.0) for k, n in customers], "c_custkey long, c_name string, c_nationkey int, c_acctbal double", "customer")
+    put([(k, f"firm {k}", 0, 1.0) for k in (2, 20, 14)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", "supplier")
+    put(orders, "o_orderkey long, o_custkey long", "orders")
+    put(items, "l_orderkey long, l_suppkey long", "lineitem")
+    links = {(f"C{c}", o) for o, c in orders} | {(f"S{x}", o) for o, x in items}
+    return path, customers, links
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_duplicates_of_all_persons(spark, case):
+    path, customers, _ = case
+    people = [(f"C{k}", n, k % 97) for k, n in customers]
+    want = {(min(a, b), max(a, b), 0.6) for a, x, _ in people for b, y, _ in people if a != b and edits(x, y) <= 2}
+    want |= {(a, f"S{k}", 0.85) for a, _, m in people for k in (2, 20, 14) if m == k % 97}
+    assert ("C20", "C305", 0.6) in want and ("C20", "S20", 0.85) in want
+    assert {(r.a, r.b, r.confidence) for r in catalog.QUERIES["e11_duplicates_all"](spark, path).collect()} == want
+
+
+def test_links_of_all_evidence(spark, case):
+    path, customers, links = case
+    got = {(r.entity_id, r.evidence_id) for r in catalog.QUERIES["e15_backfill_all"](spark, path).collect()}
+    assert got == {x for x in links if x[1] % 2}
+    everyone, linked = {f"C{k}" for k, _ in customers} | {"S2", "S20", "S14"}, {x for x, _ in links}
+    assert {r.id for r in catalog.QUERIES["r09_semi_join_all"](spark, path).collect()} == linked
+    assert {r.id for r in catalog.QUERIES["r10_anti_join_all"](spark, path).collect()} == everyone - linked

@@ -312,6 +312,12 @@ def e11(spark, d):
     return duplicate_candidates(entities(spark, d).where("id LIKE 'C1%' OR type <> 'person'"))
 
 
+@query("e11_duplicates_all")
+def e11_all(spark, d):
+    """Of all persons; the statement in SQL of e11_duplicates holds for ids that begin with C1."""
+    return duplicate_candidates(entities(spark, d))
+
+
 @query(
     "e12_merge",
     f"WITH {TX}, m AS (SELECT concat('U', i) AS old, concat('U', i - 1) AS new FROM range(1, 150, 2) r(i)), e AS (SELECT coalesce(a.new, sender) AS source, coalesce(b.new, receiver) AS target FROM t LEFT JOIN m a ON a.old = sender LEFT JOIN m b ON b.old = receiver WHERE sender <> receiver) SELECT source, target, count(*) AS weight FROM e WHERE source <> target GROUP BY 1, 2",
@@ -324,7 +330,16 @@ def e12(spark, d):
 @query("e15_backfill", f"WITH {ENTITIES}, {LINKS} SELECT entity_id, evidence_id FROM k WHERE evidence_id < 500 AND entity_id IN (SELECT id FROM n) AND NOT evidence_id % 2 = 0")
 def e15(spark, d):
     """Observations that links imply and the ledger lacks."""
-    k = links(spark, d).where("evidence_id < 500")
+    return _backfill(spark, d, links(spark, d).where("evidence_id < 500"))
+
+
+@query("e15_backfill_all")
+def e15_all(spark, d):
+    """Of all links; the statement in SQL of e15_backfill holds for ids under 500."""
+    return _backfill(spark, d, links(spark, d))
+
+
+def _backfill(spark: SparkSession, d: str, k: DataFrame) -> DataFrame:
     n = entities(spark, d).select(F.col("id").alias("entity_id"))
     known = k.where("evidence_id % 2 = 0")
     return k.join(n, "entity_id", "left_semi").join(known, ["entity_id", "evidence_id"], "left_anti")

@@ -104,6 +104,13 @@ def r09(spark, d):
     return n.join(k, n.id == k.entity_id, "left_semi").select("id")
 
 
+@query("r09_semi_join_all")
+def r09_all(spark, d):
+    """Of all links; the statement in SQL of r09_semi_join holds for ids under 200."""
+    n, k = entities(spark, d), links(spark, d)
+    return n.join(k, n.id == k.entity_id, "left_semi").select("id")
+
+
 @query("r10_anti_join", f"WITH {ENTITIES}, {LINKS} SELECT id FROM n WHERE id NOT IN (SELECT entity_id FROM k WHERE evidence_id < 3000)")
 def r10(spark, d):
     k = links(spark, d).where("evidence_id < 3000")
@@ -111,6 +118,13 @@ def r10(spark, d):
     return n.join(k, n.id == k.entity_id, "left_anti").select("id")
 
 
+@query("r10_anti_join_all")
+def r10_all(spark, d):
+    """Of all links; the statement in SQL of r10_anti_join holds for ids under 3000."""
+    n, k = entities(spark, d), links(spark, d)
+    return n.join(k, n.id == k.entity_id, "left_anti").select("id")
+
+
 @query("r11_either_end", f"WITH {EDGES} SELECT source, target FROM e WHERE source IN ('U1', 'U2') OR target IN ('U1', 'U2')")
 def r11(spark, d):
     ids = spark.range(1, 3).select(F.concat(F.lit("U"), F.col("id").cast("string")).alias("id"))
