@@ -21,10 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset on a local master (tests) a temporary folder is made and set; on a
+    cluster a folder of one machine would lose rows, so the setting is demanded there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -163,6 +166,27 @@ def open_shared(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def trimmed(run):
+    """``run`` for mapInArrow, giving freed memory back at its end: workers outlive their tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):  # glibc alone has it
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 _SHIPPED: set[str] = set()
 
 
