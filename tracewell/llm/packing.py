@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship
+from .common import ship, trimmed
 from .tokens import END_ID, batches_by_bytes, encoder
 
 CONTEXT = 4096
@@ -200,8 +200,9 @@ def pack(docs: DataFrame, *, tokenizer: str = "word_bpe_49k.json", kind: str = "
         yield from emit(drain())
         yield from emit(steps.rest())
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)
 
 
 def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed; null texts are empty, odd rows as in ``pack``."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

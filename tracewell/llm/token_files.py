@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, open_shared, ship
+from .common import Workspace, open_shared, ship, trimmed
 from .tokens import END_ID, batches_by_bytes, encoder
 
 MAGIC = b"TWDAC\x00\x00\x01"
@@ -217,7 +217,7 @@ def write_token_files(
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
-    files = sorted((r.file, r.n_tokens) for r in dealt.mapInArrow(write, "file string, n_tokens long").collect())
+    files = sorted((r.file, r.n_tokens) for r in dealt.mapInArrow(trimmed(write), "file string, n_tokens long").collect())
     manifest, first = [], 0
     for file, n in files:
         manifest.append((file, first, n))
@@ -248,10 +248,11 @@ def read_token_files(spark: SparkSession, root: str, manifest: list[tuple[str, i
                 )
 
     files = spark.createDataFrame(manifest, "file string, first long, n long").repartition(len(manifest))
-    return files.mapInArrow(read, schema)
+    return files.mapInArrow(trimmed(read), schema)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` written and read back; null texts are empty, odd rows as in ``write_token_files``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     root = Workspace(spark, "tokens").path("ids")
     return read_token_files(spark, root, write_token_files(spark, docs, root))

@@ -2,13 +2,14 @@
 
 A text is cut into units at places where no token can cross, batch by batch in Arrow; each distinct
 unit of a batch is looked up in a bounded per-process cache, and only units not yet met are encoded.
-Where the cuts would not be safe (runs of white space) the whole text is encoded at once.
-Special-token strings inside a text count as ordinary text.
+Where the cuts would not be safe (runs of white space, or a special token's string in the text, which
+the library reads as that token) the whole text is encoded at once.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct units that a worker process remembers; beyond it the cache starts anew.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 400_000
 END_ID = 2
 _CUT = "\x00"
 
@@ -47,7 +48,8 @@ class Encoder:
 
         self.kind = kind
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True) if t)
         self.model = self.tokenizer.model
         self.table = _byte_table()
         self.cache: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
@@ -83,6 +85,8 @@ class Encoder:
             pattern = _CUT
         else:
             pattern = r"\x00|[\s\p{Z}\x1c-\x1f\x85]{3}|[\s\p{Z}\x1c-\x1f\x85]{2}\z"
+        if self.special:
+            pattern += "|" + self.special
         return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +142,7 @@ def encoder(name: str, kind: str) -> Encoder:
     return found
 
 
-def batches_by_bytes(batches, column: str, most: int = 8 << 20):
+def batches_by_bytes(batches, column: str, most: int = 4 << 20):
     """Cut record batches so that the texts of each hold about ``most`` bytes (one text at least)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
