@@ -74,9 +74,9 @@ def _passes(bitmap: Column, bits: int, h: Column) -> Column:
 
 
 def contamination(
-    spark: SparkSession, docs: DataFrame, items: DataFrame, workspace: Workspace | None = None
+    spark: SparkSession, docs: DataFrame, items: DataFrame, workspace: Workspace | None = None, *, digest: bool = False
 ) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items, and the text's digest if asked for.
 
     ``items`` has item_id and text.  n_hit counts the document's words inside any occurrence of an
     item's window, n_items the items that have one, and ``items`` holds their ids as sorted strings.
@@ -113,9 +113,12 @@ def contamination(
     )
     n_prints = prints.count()
     literal, bits = _filter_literal(prints, n_prints)
-    short = sorted(r.len for r in windows.where(F.col("len") < SPAN).select("len").distinct().collect())
+    lengths = windows.where(F.col("len") < SPAN).groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()
+    short = sorted(r.len for r in lengths)  # SPAN - 1 rows at most
+    brief = bench.where(F.size("w") < SPAN).select(_short_hash(F.size("w"), F.lit(0)).alias("hash"))
+    brief_literal, brief_bits = _filter_literal(brief, sum(r.n for r in lengths))
 
-    scanned = _scan(docs, F.lit(literal), bits, n_prints, short)
+    scanned = _scan(docs, F.lit(literal), bits, n_prints, short, F.lit(brief_literal), brief_bits, digest)
     rows = ws.table(scanned, "rows")
 
     hit = (
@@ -150,7 +153,7 @@ def contamination(
         .agg(F.array_sort(F.collect_set("id")).alias("items"))
     )
     return (
-        rows.select("row_id", "doc_id", "n_words")
+        rows.drop("near", "brief")
         .join(covered, "row_id", "left")
         .join(named, "row_id", "left")
         .select(
@@ -159,10 +162,16 @@ def contamination(
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
             F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+            *["digest"] * digest,
         )
     )
 
 
+def _short_hash(n: Column, i: Column) -> Column:
+    """Hash of the n < SPAN words from place i on, whose number it depends on."""
+    return F.xxhash64(n, *[F.when(n > j, F.get("w", i + j)) for j in range(SPAN - 1)])
+
+
 def _window_of(n: int):
     """A function of one place alone: a second argument would get the place's number in the array."""
     return lambda a: F.struct(
@@ -170,9 +179,19 @@ def _window_of(n: int):
     )
 
 
-def _scan(docs: DataFrame, bitmap: Column, bits: int, n_prints: int, short: list[int]) -> DataFrame:
-    """One pass over the texts: word counts, and the candidates with the words around them."""
-    w = docs.select("doc_id", F.monotonically_increasing_id().alias("row_id"), words(F.col("text")).alias("w"))
+def _scan(
+    docs: DataFrame, bitmap: Column, bits: int, n_prints: int, short: list[int], brief_bitmap: Column, brief_bits: int, digest: bool
+) -> DataFrame:
+    """One pass over the texts: word counts, and the candidates with the words around them.
+
+    Windows of short items are candidates where their own filter lets their hash through.
+    """
+    w = docs.select(
+        "doc_id",
+        F.monotonically_increasing_id().alias("row_id"),
+        words(F.col("text")).alias("w"),
+        *[_digest(F.col("text")).alias("digest")] * digest,
+    )
     size = F.size("w")
     none = F.array().cast("array<int>")
 
@@ -193,22 +212,36 @@ def _scan(docs: DataFrame, bitmap: Column, bits: int, n_prints: int, short: list
     brief = F.array().cast("array<struct<len:int,at:int,window:string>>")
     for n in short:
         at = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(none)
+        at = F.filter(at, _brief_passes(brief_bitmap, brief_bits, n))
         brief = F.concat(brief, F.transform(at, _window_of(n)))
     return kept.select(
-        "row_id", "doc_id", size.alias("n_words"), F.transform("kept", around).alias("near"), brief.alias("brief")
+        "row_id", "doc_id", size.alias("n_words"), F.transform("kept", around).alias("near"), brief.alias("brief"), *["digest"] * digest
     )
 
 
+def _brief_passes(bitmap: Column, bits: int, n: int):
+    return lambda i: _passes(bitmap, bits, _short_hash(F.lit(n), i))
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, least_items: int = 2) -> DataFrame:
-    """``docs`` without the rows that hold windows of ``least_items`` benchmark items or more."""
+    """``docs`` without the rows that hold windows of ``least_items`` benchmark items or more.
+
+    Rows are told apart by id and text, so ids may be null or repeat; null and empty texts stay, all
+    columns stay as they are.  An empty table gives no rows, an empty benchmark drops none.
+    """
     ws = Workspace(spark, "winnow-filter")
-    found = contamination(spark, docs, items, ws)
-    dirty = ws.table(found.where(F.col("n_items") >= least_items).select("doc_id").distinct(), "dirty")
+    found = contamination(spark, docs, items, ws, digest=True)
+    dirty = ws.table(found.where(F.col("n_items") >= least_items).select("doc_id", "digest").distinct(), "dirty")
     ws.drop("rows", "met")
-    return by_keys(ws, docs, dirty, [F.col("doc_id")], "dirty-filter")[1]
+    return by_keys(ws, docs, dirty, [F.col("doc_id"), _digest(F.col("text"))], "dirty-filter")[1]
 
 
 def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` against all ``benchmark`` items; odd rows as in ``contamination``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return contamination(spark, docs, items).select(
