@@ -172,7 +172,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     spans = F.coalesce("gone", F.array().cast("array<struct<a:int,b:int>>"))
     dead = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"]))))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("dead"), i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dead")), lambda i: F.get(lines, i))
     return (
         found.withColumn("spans", spans)
         .withColumn("dead", dead)
@@ -188,5 +188,6 @@ def line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without their repeated lines; odd rows as in ``line_dedup``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return line_dedup(spark, docs).drop("removed_spans")
