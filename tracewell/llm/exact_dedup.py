@@ -170,6 +170,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, *, keep: str = "smallest")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all ``documents``, the largest id stays; odd rows as in ``exact_groups``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_groups(spark, docs, keep="largest").select(
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")

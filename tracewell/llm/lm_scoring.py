@@ -203,6 +203,7 @@ def members(ws: Workspace, docs: DataFrame, ids: DataFrame, name: str) -> DataFr
 
 
 def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` scored against those labelled of good quality; odd rows as in ``score``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
     return score(spark, docs, members(Workspace(spark, "target"), docs, good, "good"))
