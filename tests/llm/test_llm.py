@@ -130,11 +130,11 @@ def test_contamination_of_odd_tables(spark, odd, empty):
 # Similarity join
 
 
-def brute_components(rows, percent=85):
+def brute_components(rows, percent=85, shingle=4):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[a : a + 4]) for a in range(max(1, len(w) - 3))} if w else set()
+        sets[i] = {tuple(w[a : a + shingle]) for a in range(max(1, len(w) - shingle + 1))} if w else set()
     label = {i: i for i in sets}
     ids = sorted(sets)
     for _ in ids:
@@ -158,8 +158,26 @@ def test_similar_components(spark):
     common = " ".join(f"c{k}" for k in range(30))
     rows += [(1000 + k, common + " " + " ".join(f"z{k}_{j}" for j in range(k))) for k in range(12)]
     rows += [(2000, None), (2001, ""), (2002, "a b"), (2003, "A  B"), (2004, "a"), (2005, "a\x85b c"), (2006, " \t")]
-    got = jaccard_join.similar_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent, shingle in ((85, 4), (80, 5)):
+        got = jaccard_join.similar_components(spark, d, percent=percent, shingle=shingle).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, percent, shingle)
+
+
+def test_shingles_of_slices():
+    import pyarrow as pa
+
+    words = [f"Wörd{k} É\x0b\x85x" for k in range(50)]
+    texts = [None, "", " a b  ", *(" ".join(words[k : k + 9]) for k in range(40)), "x y z w\n"]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        for size in (3, 4, 5):
+            shingled = jaccard_join.Shingler(size)
+            whole = [x.tolist() for x in shingled(column)]
+            assert [x.tolist() for k in range(0, len(texts), 7) for x in shingled(column.slice(k, 7))] == whole
+            own = [t.encode().lower().split() if t else [] for t in texts]
+            sets = [{tuple(w[a : a + size]) for a in range(max(1, len(w) - size + 1))} if w else set() for w in own]
+            assert [len(x) for x in whole] == [len(x) for x in sets]
 
 
 def test_similar_components_of_odd_tables(spark, odd, empty):
@@ -167,7 +185,33 @@ def test_similar_components_of_odd_tables(spark, odd, empty):
     assert got[1] == got[4] == got[5] == 1 and got[2] == 2 and got[None] is None
     assert jaccard_join.similar_components(spark, empty).collect() == []
     kept = jaccard_join.near_dedup(spark, odd)
-    assert kept.columns == odd.columns and {1, 2, 3, 6, 7, 8, 9} <= {r.doc_id for r in kept.collect()}
+    # Rows 4 and 5 equal row 1 but for case; one of the two rows 7 stays, and the row without an id.
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 6, 7, 8, 9]
+
+
+def test_near_copies_without_ids_go(spark):
+    long = " ".join(f"k{j}" for j in range(200))
+    rows = [(None, long), (None, long + " more"), (None, "alone here"), (3, long + " extra"), (3, "two words"), (3, None)]
+    kept = jaccard_join.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), percent=80, shingle=5)
+    texts = [r.text for r in kept.collect()]
+    assert sum(t is not None and t.startswith("k0 ") for t in texts) == 1 and len(texts) == 4
+
+
+def test_rejections_are_by_row(spark):
+    items = spark.createDataFrame([(1, "b c d e f g h i"), (2, "a b c d e f g h")], "item_id long, text string")
+    rows = [(None, "a b c d e f g h i"), (None, "clean text"), (4, "a b c d e f g h i"), (4, "clean as well"), (4, None)]
+    left = decontaminate.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(r.text or "" for r in left.collect()) == ["", "clean as well", "clean text"]
+
+
+def test_short_items_are_filtered_first(spark, docs, tmp_path):
+    """The written candidates hardly grow by short items, and the result is that of brute force."""
+    rows = sorted(texts_of(docs).items())[:60]
+    items = [(n, " ".join((rows[n][1] or "").split()[:n])) for n in range(1, 8)] + [(9, rows[9][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contamination(spark, d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r["items"]) for r in got} == brute_windows(rows, items)
 
 
 def test_prefixes_of_similar_sets_meet():
@@ -195,7 +239,6 @@ def reference_ids(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path(name))
-    t.encode_special_tokens = True
     return [[*e.ids, 2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -210,6 +253,7 @@ def test_encoder_is_exact(name, kind):
     rnd = random.Random(3)
     texts = [t for _, t, *_ in ODD] + ["don't, we'll.", "a\n\n\nb", "x   y", "end  ", "İ ǅ ﬁ", "<|endoftext|> x"]
     texts += ["".join(rnd.choice(" \n\tab,.'é1Z ") for _ in range(40)) for _ in range(400)]
+    texts += ["<|endoftext|> x", "a <|startoftext|>b\nc", "x<|endoftext|>", "<|endof text|>", "a <| b |> <|ENDOFTEXT|>"]
     ids, at = tokens.Encoder(tokens.tokenizer_path(name), kind).encode(pa.array(texts))
     assert [[*ids[a:b].tolist(), 2] for a, b in zip(at, at[1:])] == reference_ids(name, texts)
 
@@ -334,9 +378,64 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxic_scores(spark, odd, lab.where("false")).where("toxic").collect() == []
     assert toxicity.toxic_scores(spark, empty, lab).collect() == []
     assert toxicity.drop_toxic(spark, d, lab).count() == 400 - sum(got.values())
+    same_id = d.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert toxicity.drop_toxic(spark, same_id, lab).count() == 400  # no label names a row
+    chain = toxicity.train(spark, d, lab, toxicity.CATEGORIES)
+    assert chain is not None and toxicity.drop_toxic(spark, odd, lab).columns == odd.columns
+    assert toxicity.drop_toxic(spark, empty, lab).collect() == []
     assert {r.doc_id: r.toxic for r in toxicity.toxic_scores(spark, odd, lab).collect()}[2] is False
 
 
+def test_toxicity_features_do_not_depend_on_blocks(monkeypatch):
+    text = "Slurry words, 12 and_others " * 200
+    whole = dict(zip(*(x.tolist() for x in toxicity.Features()(text))))
+    for size in (7, 97, 1000):
+        monkeypatch.setattr(toxicity, "BLOCK", size)
+        assert dict(zip(*(x.tolist() for x in toxicity.Features()(text)))) == whole
+
+
+def brute_chain(chain, text):
+    """Log-odds of each category from the weights and the words, one by one."""
+    count = Counter()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        count.update({zlib.crc32(p.encode()) & (toxicity.FEATURES - 1) for p in {w + " ", *(w[:k] for k in (4, 5) if len(w) >= k)}})
+    before, out = [], []
+    for weights in chain.weights:
+        z = float(weights[-1]) + sum(float(weights[chain.width + j]) * b for j, b in enumerate(before))
+        z += sum(float(weights[chain.kept[k]]) * np.log1p(n) for k, n in count.items() if chain.kept[k] >= 0)
+        before.append(min(10, max(-10, z)))
+        out.append(1 / (1 + np.exp(-z)))
+    return out
+
+
+def test_toxicity_matches_brute_force(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    chain = toxicity.train(spark, docs, labels, toxicity.CATEGORIES)
+    got = {r.doc_id: (r.quality_score, r.toxic_score) for r in toxicity.toxic_scores(spark, docs, labels).collect()}
+    for i, text in sorted(texts_of(docs).items())[:40]:
+        if re.search(r"[^\W\d_]", text or ""):
+            assert np.allclose(got[i], brute_chain(chain, text), atol=1e-4)
+
+
+def test_language_matches_brute_force(spark, docs):
+    """The nearest centroid by cosine of plain TF-IDF vectors, computed one text at a time."""
+    model = language_id.train(spark, docs.where("crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in language_id.op1_language_id(spark, SF).collect()}
+    for i, text in sorted(texts_of(docs).items())[:40]:
+        if not language_id.has_letter(text):
+            continue
+        x = np.log1p(language_id.counts(text).astype(float)) * model.idf
+        cosines = [float(x @ c) / float(np.linalg.norm(x)) for c in model.centroids]
+        assert got[i].lang_pred == model.langs[int(np.argmax(cosines))] and abs(got[i].score - max(cosines)) < 1e-3
+        assert got[i].rejected == (max(cosines) < model.radii[int(np.argmax(cosines))])
+
+
+def test_foreign_scripts_are_rejected(spark, docs):
+    model = language_id.train(spark, docs.select("doc_id", "text", "lang"))
+    odd = spark.createDataFrame([(1, "漢字仮名交じり文を書くことはできるか" * 5), (2, "ξεσκεπάζω την ψυχοφθόρα βδελυγμία" * 5)], "doc_id long, text string")
+    assert all(r.rejected for r in language_id.predict(spark, odd, model).collect())
+
+
 def test_lm_scores_match_plain_python(spark):
     rows = [(1, "a b a b c"), (2, "a b b c"), (3, "b a zz a"), (4, None), (5, ""), (6, "c c a b")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
@@ -464,9 +563,35 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
             assert new.count() == new.select("text").distinct().count()
         if k == 2:
             rows = sorted(texts_of(cur).items())
-            want = brute_components(rows)
+            want = brute_components(rows, 80, 5)
             assert {r.doc_id for r in new.collect()} == {i for i, (_, c) in want.items() if c == i}
         cur = new
     assert counts == sorted(counts, reverse=True) and counts[1] < counts[0]
     left = texts_of(spark.read.parquet(f"{tmp_path}/{len(corpus_pipeline.STAGES) - 2}"))
     assert {r.doc_id for r in cur.select("doc_id").distinct().collect()} == set(left)
+
+
+def test_pipeline_run(spark, odd, empty, tmp_path):
+    """run() on the smallest tables, on odd rows and on an empty table."""
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert got and {"doc_id", "start", "length", "sequence_id"} <= set(got[0].asDict())
+    for name, df in (("odd", odd.select("doc_id", "text", "lang", "source", "n_chars")), ("empty", empty.select("doc_id", "text", "lang", "source", "n_chars"))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    # Of the equal texts 1, 4 and, but for case, 5 one stays; null and empty texts are one.
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted({r.doc_id or 0 for r in pieces}) == [0, 3, 4, 6, 7, 8, 9]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+
+
+def test_shared_folder_is_demanded_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tracewell.llm.common import shared_dir
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(bare)

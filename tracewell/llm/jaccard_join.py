@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Workspace, by_keys, ship
+from .common import KeyFilter, Workspace, by_keys, fresh, ship, trimmed
 from .components import components
 from .lm_scoring import _cut
 from .tokens import batches_by_bytes
@@ -33,8 +34,8 @@ PERCENT = 85
 #: Tokens that the orders put last: those with the highest counts, no more than this.
 FREQUENT = 200_000
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-CACHE_WORDS = 500_000
-FLUSH_TOKENS = 4_000_000
+#: Shingle hashes that a task holds before it passes their counts on.
+FLUSH_TOKENS = 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -45,31 +46,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of whole texts, many at a time; A-Z are lower-cased."""
+    """Sorted distinct 64-bit shingle hashes of whole texts, many at a time; A-Z are lower-cased.
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+    Words stay in Arrow buffers; only a batch's distinct words become Python strings.
+    """
+
+    def __init__(self, shingle: int = SHINGLE):
+        self.shingle = shingle
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        """One array for each text of an Arrow string array; bytes.lower and bytes.split know ASCII alone."""
-        known, words, sizes = self.known, [], []
-        for text in texts.to_pylist():
-            own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            sizes.append(len(own))
-            words += own
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        hashes = list(map(known.get, words))
-        for i, h in enumerate(hashes):
-            if h is None:
-                w = words[i]
-                hashes[i] = known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array(hashes, np.uint64)
-        four = self._chain([h[j : len(h) - SHINGLE + 1 + j] for j in range(SHINGLE)]) if len(h) >= SHINGLE else h[:0]
+        """One array for each text of an Arrow string array; Arrow's ascii functions know ASCII alone."""
+        if not pa.types.is_string(texts.type):  # Arrow's ascii_lower misreads slices of large strings
+            texts = texts.take(pa.array(range(len(texts))))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        bounds = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        real = np.array([w != "" for w in known], bool)[at]  # white space at an end gives empty words
+        h = hashes[at[real]]
+        sizes = np.diff(np.concatenate([[0], np.cumsum(real)])[bounds - bounds[0]]).tolist()
+        k = self.shingle
+        whole = self._chain([h[j : len(h) - k + 1 + j] for j in range(k)]) if len(h) >= k else h[:0]
         out, at = [], 0
         for n in sizes:
-            if n >= SHINGLE:
-                x = np.sort(four[at : at + n - SHINGLE + 1])
+            if n >= k:
+                x = np.sort(whole[at : at + n - k + 1])
                 out.append(x[np.append(True, x[1:] != x[:-1])])
             else:  # the whole sequence is one shingle
                 out.append(self._chain([h[at + j : at + j + 1] for j in range(n)]) if n else h[:0])
@@ -127,7 +130,7 @@ def _texts(batches):
         yield part, part.column("text")
 
 
-def frequent_tokens(docs: DataFrame, ws: Workspace) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, ws: Workspace, shingle: int = SHINGLE) -> np.ndarray:
     """Tokens by document count over all documents, the highest counts, with their ranks from 1 up.
 
     A task passes on the tokens it has met in two different sets or more, so a token is missed only
@@ -135,7 +138,7 @@ def frequent_tokens(docs: DataFrame, ws: Workspace) -> np.ndarray:
     """
 
     def run(batches):
-        shingle, seen, waiting, size = Shingler(), set(), [], 0
+        shingled, seen, waiting, size = Shingler(shingle), set(), [], 0
 
         def flush():
             tokens, n = np.unique(np.concatenate(waiting), return_counts=True)
@@ -146,7 +149,7 @@ def frequent_tokens(docs: DataFrame, ws: Workspace) -> np.ndarray:
                 )
 
         for _, texts in _texts(batches):
-            for tokens in shingle(texts):
+            for tokens in shingled(texts):
                 key = xxhash.xxh3_128_digest(tokens)
                 if key not in seen:
                     seen.add(key)
@@ -159,7 +162,7 @@ def frequent_tokens(docs: DataFrame, ws: Workspace) -> np.ndarray:
             yield from flush()
 
     counted = ws.table(
-        docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2"),
+        docs.select("text").mapInArrow(trimmed(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2"),
         "frequent",
     )
     kept = counted.where(F.col("n") >= _cut(counted, FREQUENT)).toArrow()
@@ -170,14 +173,14 @@ def frequent_tokens(docs: DataFrame, ws: Workspace) -> np.ndarray:
     return np.stack([token[by], rank[by].astype(np.uint64)], axis=1) if len(token) else np.empty((0, 2), np.uint64)
 
 
-def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, shingle: int) -> DataFrame:
     """doc_id, n, sig and the prefix under order 1 (null where the task has had the same set)."""
 
     def run(batches):
-        shingle, orders, seen = Shingler(), Orders(frequent, percent), set()
+        shingled, orders, seen = Shingler(shingle), Orders(frequent, percent), set()
         for part, texts in _texts(batches):
             n, sig, prefix = [], [], []
-            for tokens in shingle(texts):
+            for tokens in shingled(texts):
                 key = xxhash.xxh3_128_digest(tokens)
                 n.append(len(tokens))
                 sig.append(key)
@@ -186,23 +189,23 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFram
                 else:
                     seen.add(key)
                     prefix.append(orders.prefix(tokens, orders.ranks(tokens), SEEDS[0]).view(np.int64))
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
                 ["doc_id", "n", "sig", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n int, sig binary, prefix array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, frequent: np.ndarray, ws: Workspace, name: str, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, frequent: np.ndarray, ws: Workspace, name: str, percent: int, shingle: int) -> DataFrame:
     """id, tokens and the prefixes under orders 2 and 3 (as 32-bit ints, which can only let more through)."""
 
     def run(batches):
-        shingle, orders = Shingler(), Orders(frequent, percent)
+        shingled, orders = Shingler(shingle), Orders(frequent, percent)
         for part, texts in _texts(batches):
-            sets = shingle(texts)
+            sets = shingled(texts)
             ranks = [orders.ranks(t) for t in sets]
             second, third = (
                 [orders.prefix(t, r, s).astype(np.uint32).view(np.int32) for t, r in zip(sets, ranks)] for s in SEEDS[1:]
@@ -216,7 +219,7 @@ def _sets(docs: DataFrame, ids: DataFrame, frequent: np.ndarray, ws: Workspace,
     maybe, _ = KeyFilter(ws, ids, F.xxhash64("id"), f"{name}-filter").split(docs, F.xxhash64("doc_id"))
     rows = maybe.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
     return ws.table(
-        rows.select("id", "text").mapInArrow(run, "id long, tokens array<long>, second array<int>, third array<int>"), name
+        rows.select("id", "text").mapInArrow(trimmed(run), "id long, tokens array<long>, second array<int>, third array<int>"), name
     )
 
 
@@ -226,11 +229,11 @@ def _possible(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * left >= percent * (na + nb))
 
 
-def _verify(ws: Workspace, docs: DataFrame, pairs: DataFrame, frequent: np.ndarray, name: str, percent: int) -> DataFrame:
+def _verify(ws: Workspace, docs: DataFrame, pairs: DataFrame, frequent: np.ndarray, name: str, percent: int, shingle: int) -> DataFrame:
     """Pairs (a, b) that reach the similarity."""
     pairs = ws.table(pairs.distinct(), f"{name}-pairs")
     ids = ws.table(pairs.selectExpr("a AS id").unionByName(pairs.selectExpr("b AS id")).distinct(), f"{name}-ids")
-    sets = _sets(docs, ids, frequent, ws, f"{name}-sets", percent)
+    sets = _sets(docs, ids, frequent, ws, f"{name}-sets", percent, shingle)
 
     def side(columns: list[str], s: str) -> DataFrame:
         return sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
@@ -248,18 +251,20 @@ def _verify(ws: Workspace, docs: DataFrame, pairs: DataFrame, frequent: np.ndarr
     return linked
 
 
-def similar_components(spark: SparkSession, docs: DataFrame, *, percent: int = PERCENT, workspace: Workspace | None = None) -> DataFrame:
+def similar_components(
+    spark: SparkSession, docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, workspace: Workspace | None = None
+) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
-    Ids are taken as unique; rows that share one are linked.  A null or wordless text has the empty
+    doc_id is integral.  Ids are taken as unique; rows that share one are linked.  A null or wordless text has the empty
     set and is linked with nothing; null ids have the component of their copies, else null.  An empty
     table gives no rows; other columns are ignored.
     """
     ship(spark)
     ws = workspace or Workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = frequent_tokens(docs, ws)
-    rows = ws.table(_signatures(docs, frequent, percent), "rows")
+    frequent = frequent_tokens(docs, ws, shingle)
+    rows = ws.table(_signatures(docs, frequent, percent, shingle), "rows")
     full = rows.where("n > 0")
     nodes = ws.table(
         full.groupBy("sig")
@@ -279,7 +284,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, *, percent: int = P
         .where(_possible(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
         .select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
     )
-    linked = _verify(ws, docs, first, frequent, "hub", percent)
+    linked = _verify(ws, docs, first, frequent, "hub", percent, shingle)
     found = components(ws, linked, "cc1")
     labelled = ws.table(
         index.join(found, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("c")), "labelled"
@@ -294,7 +299,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, *, percent: int = P
         .where(_possible(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent))
         .select(F.col("id").alias("a"), F.col("id_b").alias("b"))
     )
-    more = _verify(ws, docs, rest, frequent, "rest", percent)
+    more = _verify(ws, docs, rest, frequent, "rest", percent, shingle)
     final = components(ws, linked.unionByName(more), "cc2")
     named = nodes.select("sig", "id").join(final, "id", "left").select(
         "sig", F.coalesce("component", "id").alias("component")
@@ -307,16 +312,33 @@ def similar_components(spark: SparkSession, docs: DataFrame, *, percent: int = P
     )
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each group of linked documents: the one with the smallest id."""
+def near_dedup(spark: SparkSession, docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: the one with the smallest id.
+
+    Where ids are null or repeat, the rows get numbers of their own (in the order of the ids, nulls
+    last) and one row of each group stays all the same; texts without words all stay.  All columns stay as
+    they are, an empty table gives no rows.
+    """
     ws = Workspace(spark, "near")
-    found = similar_components(spark, docs, percent=percent, workspace=ws)
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    odd = not ids.groupBy("id").count().where("count > 1 OR id IS NULL").isEmpty()
+    key = F.col("doc_id").cast("long")
+    if odd:
+        (name,) = fresh(docs, 1)
+        # Numbers rise with the sorted partitions; the written table fixes them.
+        placed = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+        docs = ws.table(placed.withColumn(name, F.monotonically_increasing_id()), "numbered")
+        key = F.col(name)
+    found = similar_components(spark, docs.select(key.alias("doc_id"), "text"), percent=percent, shingle=shingle, workspace=ws)
     gone = ws.table(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     ws.drop("rows", "nodes")
-    return by_keys(ws, docs, gone, [F.col("doc_id").cast("long")], "gone-filter")[1]
+    kept = by_keys(ws, docs, gone, [key], "gone-filter")[1]
+    return kept.drop(name) if odd else kept
 
 
 def op8_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` at 4-word shingles and 85 %: null or wordless texts are alone,
+    repeated rows are linked, an empty table gives no rows."""
     return similar_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

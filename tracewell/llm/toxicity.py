@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, by_keys, ship
+from .common import ship, trimmed
+from .tokens import batches_by_bytes
 
 FEATURES = 1 << 18
 #: Lengths of the word beginnings that are features of their own, so inflected forms share weight.
@@ -30,9 +31,9 @@ L2 = 1.0
 #: A feature of fewer sample rows is not used.
 LEAST_ROWS = 3
 #: Words whose feature numbers a worker process remembers; beyond it the memory starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
-#: Characters tokenised at a time; a word across two blocks counts as its two parts.
+#: Characters tokenised at a time; the unfinished word at a block's end goes to the next block.
 BLOCK = 1 << 20
 
 
@@ -58,9 +59,13 @@ class Features:
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(feature numbers, weights) of a whole text; none for a null or wordless one."""
         words: Counter = Counter()
-        text = (text or "").lower()
+        text, carry = (text or "").lower(), ""
         for at in range(0, len(text), BLOCK):
-            words.update(_WORD.findall(text[at : at + BLOCK]))
+            part = carry + text[at : at + BLOCK]
+            own, carry = _WORD.findall(part), ""
+            if own and at + BLOCK < len(text) and part.endswith(own[-1]):
+                carry = own.pop()
+            words.update(own)
         found: dict[int, int] = {}
         get = self.known.get
         for word, n in words.items():
@@ -190,7 +195,7 @@ def train(
             )
 
     schema = f"doc_id {dict(joined.dtypes)['doc_id']}, " + ", ".join(f"`{c}` double" for c in categories) + ", f binary"
-    found = joined.select("doc_id", "text", *categories).mapInArrow(run, schema).collect()
+    found = joined.select("doc_id", "text", *categories).mapInArrow(trimmed(run), schema).collect()
     if not found:
         return None
     found.sort(key=lambda r: (r.doc_id, r.f))
@@ -216,6 +221,21 @@ def train(
     return Chain(categories, kept, weights)
 
 
+def _predict(chain: Chain | None, features: Features, texts: list, width: int) -> np.ndarray:
+    """Probabilities of texts; 0 for null and wordless ones, and where nothing was learnt."""
+    p = np.zeros((len(texts), width))
+    if chain is not None and texts:
+        p = chain.predict(Rows([features(t) for t in texts], chain.width))
+        p[[not _WORD.search(t or "") for t in texts]] = 0
+    return p
+
+
+def _blocks(batches):
+    for batch in batches:
+        for part in batches_by_bytes([batch], "text", 4 << 20):
+            yield part
+
+
 def score(spark: SparkSession, docs: DataFrame, chain: Chain | None, categories: list[str]) -> DataFrame:
     """doc_id and the probability ``p_<category>`` of each category, for every row of ``docs``.
 
@@ -226,21 +246,15 @@ def score(spark: SparkSession, docs: DataFrame, chain: Chain | None, categories:
 
     def run(batches):
         features = Features(None if chain is None else chain.kept)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                texts = part.column("text").to_pylist()
-                p = np.zeros((len(texts), len(names)))
-                if chain is not None:
-                    p = chain.predict(Rows([features(t) for t in texts], chain.width))
-                    p[[not _WORD.search(t or "") for t in texts]] = 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[pa.array(p[:, j]) for j in range(len(names))]], ["doc_id", *names]
-                )
+        for part in _blocks(batches):
+            p = _predict(chain, features, part.column("text").to_pylist(), len(names))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), *[pa.array(p[:, j]) for j in range(len(names))]], ["doc_id", *names]
+            )
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, " + ", ".join(f"`{n}` double" for n in names)
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
 
 
 #: The label table's categories in chain order: how well a text is made says something of its tone.
@@ -248,7 +262,12 @@ CATEGORIES = ["quality", "toxic"]
 
 
 def toxic_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic (boolean), toxic_score and quality_score of every row of ``docs``."""
+    """doc_id, toxic (boolean), toxic_score and quality_score of every row of ``docs``.
+
+    Null and wordless texts score 0 and are not toxic; a score equal to the threshold is.  Equal
+    texts get equal scores whatever their ids.  Without labels nothing is toxic; an empty table gives
+    no rows; other columns are ignored.
+    """
     chain = train(spark, docs, labels, CATEGORIES)
     return score(spark, docs, chain, CATEGORIES).select(
         "doc_id",
@@ -259,12 +278,25 @@ def toxic_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Dat
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text is toxic; rows are matched by id."""
-    ws = Workspace(spark, "toxic")
-    bad = ws.table(toxic_scores(spark, docs, labels).where("toxic").select("doc_id").distinct(), "bad")
-    return by_keys(ws, docs, bad, [F.col("doc_id")], "bad-filter")[1]
+    """``docs`` without the rows whose text is toxic, decided row by row where the texts are read.
+
+    Null and wordless texts stay, ids may be null or repeat, all columns stay as they are; an empty
+    table gives no rows.
+    """
+    ship(spark)
+    chain = train(spark, docs, labels, CATEGORIES)
+    at = CATEGORIES.index("toxic")
+
+    def run(batches):
+        features = Features(None if chain is None else chain.kept)
+        for part in _blocks(batches):
+            p = _predict(chain, features, part.column("text").to_pylist(), len(CATEGORIES))
+            yield part.filter(pa.array(p[:, at] < THRESHOLD))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by a chain fitted on ``labels``; odd rows as in ``toxic_scores``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return toxic_scores(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
