@@ -17,27 +17,42 @@ from tracewell.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose toxicity probability reaches the threshold."""
+    """Drop the documents whose toxicity probability reaches the threshold.
+
+    Null, empty and wordless texts stay; equal texts are decided alike; ids may be null or repeat.
+    """
     return drop_toxic(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the largest id of equal texts."""
+    """Keep the row with the largest id of equal texts.
+
+    A null text equals an empty one; null ids lose against any other; of wholly equal rows one stays.
+    """
     return exact_dedup(spark, docs, keep="largest")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the smallest id of each group of linked documents."""
-    return near_dedup(spark, docs)
+    """Keep the row with the smallest id of each group of documents linked at 80 % of five-word shingles.
+
+    Texts without words are linked with nothing and stay; null or repeated ids are numbered anew inside.
+    """
+    return near_dedup(spark, docs, percent=80, shingle=5)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold windows of two benchmark items or more."""
+    """Drop the documents that hold windows of two benchmark items or more.
+
+    Null and empty texts stay; a row is told by its id and text.
+    """
     return decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences; one row per piece."""
+    """Pack what is left into sequences; one row per piece.
+
+    A null text is empty and has its end id alone; an empty table gives no rows, here as in all stages.
+    """
     return pack(docs)
 
 
