@@ -3,7 +3,10 @@
 A document's set holds the hashes of its distinct shingles.  Two sets of sizes a and b can reach the
 similarity only if, under any one order of all tokens, their prefixes of n - ceil(t n) + 1 tokens
 share a token.  Order 1 is an inverted index: documents that share one of its prefix tokens, at
-places and with sizes that still allow the overlap, are candidates.  A candidate must then share
+places and with sizes that still allow the overlap, are candidates.  So that a group of copies with
+many changes does not become all its pairs, a candidate's parity bits must allow the overlap too: bit
+k of a set is the parity of its tokens that are k modulo ``PARITY``, and bits that differ between two
+sets stand for at least as many tokens that only one of them has.  A candidate must then share
 prefix tokens under orders 2 and 3 too, and what is left is verified on the whole sets.
 
 All orders put the tokens that many documents hold last.  Any total order gives the same result, so
@@ -36,6 +39,9 @@ FREQUENT = 200_000
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Shingle hashes that a task holds before it passes their counts on.
 FLUSH_TOKENS = 2_000_000
+#: Parity bits of a set, 64 to a column.
+PARITY = 512
+_BITS = [f"b{k}" for k in range(PARITY // 64)]
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -125,6 +131,12 @@ class Orders:
         return tokens[np.lexsort((key, rank))[:n]]
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """The parity bits of a set, as 64-bit integers."""
+    n = np.bincount((tokens & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
+
+
 def _texts(batches):
     for part in batches_by_bytes(batches, "text", 4 << 20):
         yield part, part.column("text")
@@ -174,16 +186,17 @@ def frequent_tokens(docs: DataFrame, ws: Workspace, shingle: int = SHINGLE) -> n
 
 
 def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, shingle: int) -> DataFrame:
-    """doc_id, n, sig and the prefix under order 1 (null where the task has had the same set)."""
+    """doc_id, n, sig, the prefix under order 1 (null where the task has had the same set), and parity bits."""
 
     def run(batches):
         shingled, orders, seen = Shingler(shingle), Orders(frequent, percent), set()
         for part, texts in _texts(batches):
-            n, sig, prefix = [], [], []
+            n, sig, prefix, bits = [], [], [], []
             for tokens in shingled(texts):
                 key = xxhash.xxh3_128_digest(tokens)
                 n.append(len(tokens))
                 sig.append(key)
+                bits.append(parity(tokens))
                 if key in seen:
                     prefix.append(None)
                 else:
@@ -192,11 +205,12 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, shingle: in
             if len(seen) > 200_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n", "sig", "prefix"],
+                [part.column("doc_id"), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+                + [pa.array(c) for c in np.stack(bits, axis=1)],
+                ["doc_id", "n", "sig", "prefix", *_BITS],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n int, sig binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n int, sig binary, prefix array<long>, " + ", ".join(f"{b} long" for b in _BITS))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, frequent: np.ndarray, ws: Workspace, name: str, percent: int, shingle: int) -> DataFrame:
@@ -229,6 +243,17 @@ def _possible(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * left >= percent * (na + nb))
 
 
+def _near(n: Column, n_other: Column, mark: str, percent: int) -> Column:
+    """Whether the parity bits of two rows (``mark`` ends the other's columns) allow the similarity."""
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}{mark}"))) for b in _BITS), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (n + n_other)
+
+
+def _marked(nodes: DataFrame, id_: str, mark: str) -> DataFrame:
+    """id, n and parity bits of the nodes, with names that end in ``mark``."""
+    return nodes.select(F.col("id").alias(id_), F.col("n").alias(f"n{mark}"), *[F.col(b).alias(f"{b}{mark}") for b in _BITS])
+
+
 def _verify(ws: Workspace, docs: DataFrame, pairs: DataFrame, frequent: np.ndarray, name: str, percent: int, shingle: int) -> DataFrame:
     """Pairs (a, b) that reach the similarity."""
     pairs = ws.table(pairs.distinct(), f"{name}-pairs")
@@ -268,7 +293,7 @@ def similar_components(
     full = rows.where("n > 0")
     nodes = ws.table(
         full.groupBy("sig")
-        .agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
+        .agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"), *[F.min(b).alias(b) for b in _BITS])
         .where("id IS NOT NULL"),
         "nodes",
     )
@@ -283,6 +308,11 @@ def similar_components(
         index.where(F.col("id") != F.col("hub.id"))
         .where(_possible(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
         .select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+        .distinct()
+        .join(_marked(nodes, "a", ""), "a")
+        .join(_marked(nodes, "b", "_b"), "b")
+        .where(_near(F.col("n"), F.col("n_b"), "_b", percent))
+        .select("a", "b")
     )
     linked = _verify(ws, docs, first, frequent, "hub", percent, shingle)
     found = components(ws, linked, "cc1")
@@ -290,13 +320,14 @@ def similar_components(
         index.join(found, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("c")), "labelled"
     )
     split = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-    open_ = ws.table(labelled.join(split, "token", "left_semi"), "open")
-    b = open_.select("token", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "pos", "c")])
+    open_ = ws.table(labelled.join(split, "token", "left_semi").join(nodes.select("id", *_BITS), "id"), "open")
+    b = open_.select("token", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "pos", "c", *_BITS)])
     # The side of the smaller id; members of one component need no further link.
     rest = (
         open_.join(b, "token")
         .where((F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")))
         .where(_possible(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent))
+        .where(_near(F.col("n"), F.col("n_b"), "_b", percent))
         .select(F.col("id").alias("a"), F.col("id_b").alias("b"))
     )
     more = _verify(ws, docs, rest, frequent, "rest", percent, shingle)

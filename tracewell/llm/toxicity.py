@@ -23,7 +23,7 @@ from .tokens import batches_by_bytes
 FEATURES = 1 << 18
 #: Lengths of the word beginnings that are features of their own, so inflected forms share weight.
 PREFIXES = (4, 5)
-#: Bound of the training sample: labelled rows of each value of the last category (smallest hash of the id).
+#: Bound of the training sample: labelled documents of each value of the last category, in the mean of the draw.
 SAMPLE = 3000
 FOLDS = 3
 THRESHOLD = 0.5
@@ -165,22 +165,23 @@ class Chain:
 def train(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: list[str], *, sample: int = SAMPLE
 ) -> Chain | None:
-    """Fit on at most ``sample`` labelled documents of each value of the last category.
+    """Fit on about ``sample`` labelled documents of each value of the last category (all, if there are fewer).
 
-    Labels with a null are left out.  None if no labelled document is found.
+    Drawn are the ids whose hash is below a share of ``sample`` in that value's ids.  Labels with a null are
+    left out; of repeated labels, or texts, of one id the largest counts.  None if no labelled document is found.
     """
     ship(spark)
     last = categories[-1]
     known = labels.select("doc_id", *[F.col(c).cast("double").alias(c) for c in categories]).dropna()
+    known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     sizes = known.groupBy(last).agg(F.count(F.lit(1)).alias("n"))
     drawn = (
         known.join(F.broadcast(sizes), last)  # a row for each value of a 0/1 label
-        .where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(4.0 * sample * (1 << 20)) / F.col("n") + 1)
-        .withColumn("k", F.expr(f"row_number() OVER (PARTITION BY `{last}` ORDER BY xxhash64(doc_id), doc_id)"))
-        .where(F.col("k") <= sample)
-        .drop("k", "n")
+        .where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(float(sample) * (1 << 20)) / F.col("n"))
+        .drop("n")
     )
-    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # two samples of rows at most
+    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about two samples of ids
+    joined = joined.groupBy("doc_id", *categories).agg(F.max("text").alias("text"))
 
     def run(batches):
         features = Features()
