@@ -164,6 +164,16 @@ def test_similar_components(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, percent, shingle)
 
 
+def test_parity_bits_bound_the_difference():
+    rnd = np.random.default_rng(3)
+    for _ in range(200):
+        a = np.unique(rnd.integers(0, 2**63, rnd.integers(1, 400)).astype(np.uint64))
+        b = np.unique(np.append(rnd.choice(a, rnd.integers(1, len(a) + 1), replace=False), rnd.integers(0, 2**63, rnd.integers(0, 60)).astype(np.uint64)))
+        x, y = jaccard_join.parity(a), jaccard_join.parity(b)
+        assert len(x) == jaccard_join.PARITY // 64
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_shingles_of_slices():
     import pyarrow as pa
 
