@@ -66,3 +66,19 @@ def test_random_components(spark):
 def test_empty_graph(spark):
     n, e = make(spark, [])
     assert graph.page_rank(n, e).collect() == [] and graph.components(n, e).collect() == []
+
+
+def test_long_paths_and_dangling_nodes(spark):
+    """A path of over 50 hops is found; the ranks with nodes that send nothing are those of plain Python."""
+    e = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}", 1.0, 1.0) for k in range(60)], "source string, target string, weight double, amount double")
+    n = graph.nodes_of(e)
+    r = graph.shortest_path(e, "n000", "n060").first()
+    assert r.hops == 60 and r.path[0] == "n000" and r.path[-1] == "n060"
+    assert graph.shortest_path(e, "n000", "n060", most=5).collect() == []
+    star = spark.createDataFrame([("a", "b", 1.0, 1.0), ("a", "c", 1.0, 1.0), ("b", "c", 1.0, 1.0)], "source string, target string, weight double, amount double")
+    rank = dict.fromkeys("abc", 1 / 3)
+    for _ in range(10):
+        lost = rank["c"] / 3
+        rank = {"a": 0.05 + 0.85 * lost, "b": 0.05 + 0.85 * (rank["a"] / 2 + lost), "c": 0.05 + 0.85 * (rank["a"] / 2 + rank["b"] + lost)}
+    got = {r.id: r["rank"] for r in graph.page_rank(graph.nodes_of(star), star, iterations=10, tolerance=0).collect()}
+    assert all(abs(got[k] - v) < 1e-9 for k, v in rank.items())

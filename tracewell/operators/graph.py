@@ -122,14 +122,15 @@ def closeness(n: DataFrame, e: DataFrame) -> DataFrame:
     return n.join(h, "id", "left").select("id", F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0)) / max(1, size - 1)).alias("closeness"))
 
 
-def shortest_path(e: DataFrame, start: str, goal: str, directed: bool = False, most: int = 50) -> DataFrame:
+def shortest_path(e: DataFrame, start: str, goal: str, directed: bool = False, most: int | None = None) -> DataFrame:
     """One row with the path of fewest hops; of equal ones that with the smallest ids in order."""
     links = clean(e).select(F.col("source").alias("a"), F.col("target").alias("b")) if directed else undirected(e).select("a", "b")
     links = cut(links.distinct())
     spark = e.sparkSession
     front = spark.range(1).select(F.lit(start).alias("at"), F.array(F.lit(start)).alias("path"))
-    seen = front.select("at")
-    for _ in range(most):
+    seen, k = front.select("at"), 0
+    while most is None or k <= most:
+        k += 1
         hit = front.where(F.col("at") == goal)
         if not hit.isEmpty():
             return hit.select("path", (F.size("path") - 1).alias("hops"))
@@ -332,6 +333,15 @@ def g05(spark, d):
     return betweenness(*_graph(spark, d))
 
 
+#: Breadth-first hops to the fixpoint: a pair of nodes is met once, at its least number of hops.
+_HOPS = "WITH RECURSIVE " + _U + """, h(src, id, hops) USING KEY (src, id) AS (SELECT id, id, 0 FROM n
+  UNION SELECT h.src, u.b, min(h.hops + 1) FROM h JOIN u ON u.a = h.id LEFT JOIN recurring.h AS old ON old.src = h.src AND old.id = u.b
+  WHERE old.hops IS NULL GROUP BY h.src, u.b)"""
+#: One path of the fewest hops to each node, the smallest of equal ones; ``links`` has a and b.
+_FEWEST = """, r(spot, path) USING KEY (spot) AS (SELECT '{start}', ['{start}']
+  UNION SELECT w.b, min(list_append(r.path, w.b)) FROM r JOIN w ON w.a = r.spot LEFT JOIN recurring.r AS old ON old.spot = w.b
+  WHERE old.spot IS NULL AND len(r.path) <= {most} GROUP BY w.b)
+SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS hops FROM r WHERE spot = '{goal}'"""
 _BFS = "WITH RECURSIVE " + _U + """, r AS (SELECT id AS src, id, 0 AS hops FROM {start}
   UNION SELECT r.src, u.b, r.hops + 1 FROM r JOIN u ON u.a = r.id WHERE r.hops < {most}),
 h AS (SELECT src, id, min(hops) AS hops FROM r GROUP BY 1, 2)"""
@@ -339,7 +349,7 @@ h AS (SELECT src, id, min(hops) AS hops FROM r GROUP BY 1, 2)"""
 
 @query(
     "g06_closeness",
-    _BFS.format(start="n", most=4) + " SELECT src AS id, round(least(1, sum(CASE WHEN hops > 0 THEN 1.0 / hops ELSE 0 END) / ((SELECT count(*) FROM n) - 1)), 6) AS closeness FROM h GROUP BY 1",
+    _HOPS + " SELECT src AS id, round(least(1, sum(CASE WHEN hops > 0 THEN 1.0 / hops ELSE 0 END) / ((SELECT count(*) FROM n) - 1)), 6) AS closeness FROM h GROUP BY 1",
 )
 def g06(spark, d):
     return closeness(*_graph(spark, d)).select("id", F.round("closeness", 6).alias("closeness"))
@@ -351,7 +361,7 @@ def g06(spark, d):
 r AS (SELECT 0 AS k, id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n
   UNION ALL SELECT k, id, rank FROM (
     SELECT p.k + 1 AS k, n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce(sum(CASE WHEN e.target = n.id THEN p.rank / od.d END), 0)
-      + sum(CASE WHEN od.d IS NULL AND p.id = n.id THEN 0 ELSE 0 END)) AS rank
+      + sum(CASE WHEN od.d IS NULL THEN p.rank ELSE 0 END) / (SELECT count(*) FROM n)) AS rank
     FROM r p CROSS JOIN n LEFT JOIN od ON od.source = p.id LEFT JOIN e ON e.source = p.id AND e.target = n.id
     WHERE p.k < 10 GROUP BY p.k, n.id))
 SELECT id, round(rank, 5) AS rank FROM r WHERE k = 10""",
@@ -361,7 +371,7 @@ def g07(spark, d):
     return page_rank(n, e, iterations=10, tolerance=0).select("id", F.round("rank", 5).alias("rank"))
 
 
-@query("g08_components", _BFS.format(start="n", most=6) + " SELECT src AS id, min(id) AS component FROM h GROUP BY 1")
+@query("g08_components", _HOPS + " SELECT src AS id, min(id) AS component FROM h GROUP BY 1")
 def g08(spark, d):
     return components(*_graph(spark, d))
 
@@ -372,7 +382,7 @@ r AS (SELECT 'U3' AS spot, ['U3'] AS path UNION ALL SELECT w.b, list_append(r.pa
 SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS hops FROM r WHERE spot = '{goal}' ORDER BY len(path), path LIMIT {most}"""
 
 
-@query("g09_shortest_path", _PATHS.format(hops=2, goal="U140", most=1))
+@query("g09_shortest_path", "WITH RECURSIVE " + _U + ", w AS (SELECT DISTINCT a, b FROM u)" + _FEWEST.format(start="U3", goal="U140", most=1 << 30))
 def g09(spark, d):
     return shortest_path(_graph(spark, d)[1], "U3", "U140").select(F.concat_ws(">", "path").alias("path"), "hops")
 
@@ -523,10 +533,7 @@ def p10(spark, d):
 
 @query(
     "m15_multi_hop_path",
-    "WITH RECURSIVE " + _U + """, w AS (SELECT DISTINCT source AS a, target AS b FROM e),
-r AS (SELECT 'U3' AS spot, ['U3'] AS path UNION ALL SELECT w.b, list_append(r.path, w.b) FROM r JOIN w ON w.a = r.spot
-  WHERE len(r.path) <= 2 AND NOT list_contains(r.path, w.b) AND r.spot <> 'U77')
-SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS hops FROM r WHERE spot = 'U77' ORDER BY len(path), path LIMIT 1""",
+    "WITH RECURSIVE " + _U + ", w AS (SELECT DISTINCT source AS a, target AS b FROM e)" + _FEWEST.format(start="U3", goal="U77", most=5),
 )
 def m15(spark, d):
     return shortest_path(_graph(spark, d)[1], "U3", "U77", directed=True, most=5).select(F.concat_ws(">", "path").alias("path"), "hops")
