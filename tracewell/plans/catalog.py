@@ -19,6 +19,9 @@ for _name in (
     "operators.evidence",
     "operators.retrieval",
     "operators.scoring",
+    "operators.ledgers",
+    "operators.messages",
+    "operators.tables",
 ):
     import_module(f"tracewell.{_name}")
 
