@@ -333,28 +333,3 @@ def x46(spark, d):
 def x49(spark, d):
     t = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_mktsegment", F.lit(" 1234567"))).otherwise(F.col("c_mktsegment"))
     return table(spark, d, "customer").select("c_custkey", token_estimate(t).alias("tokens"))
-
-
-@query(
-    "x44_classify",
-    """WITH r AS (SELECT * FROM (VALUES ('license', 'license', 0.35), ('license', 'copyright', 0.35), ('table', ' | ', 0.08), ('contact', '@', 0.35), ('contact', 'call', 0.08)) v(class, needle, w)),
-s AS (SELECT doc_id, class, sum(w) AS score FROM documents JOIN r ON contains(lower(left(text, 20000)), needle) GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class) AS k FROM s)
-SELECT d.doc_id, coalesce(class, 'other') AS class, coalesce(round(score, 4), 0)::DOUBLE AS score FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k = 1 AND score >= 0.25""",
-)
-def x44(spark, d):
-    """Rule scores over the start of the text, as one expression per class; the best of at least 0.25."""
-    rules = {"contact": [("@", 0.35), ("call", 0.08)], "license": [("license", 0.35), ("copyright", 0.35)], "table": [(" | ", 0.08)]}
-    return classify(table(spark, d, "documents"), "doc_id", rules)
-
-
-def classify(docs: DataFrame, id_column: str, rules: dict[str, list[tuple[str, float]]], least: float = 0.25, cap: float = 1.4) -> DataFrame:
-    head = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 20_000))
-    scored = docs.select(id_column, head.alias("t"))
-    scores = [
-        F.struct((-F.least(F.lit(cap), sum((F.when(F.col("t").contains(n), w).otherwise(0.0) for n, w in parts), F.lit(0.0)))).alias("s"), F.lit(name).alias("class"))
-        for name, parts in sorted(rules.items())
-    ]
-    best = F.array_min(F.array(*scores))
-    ok = -best["s"] >= least
-    return scored.select(id_column, F.when(ok, best["class"]).otherwise("other").alias("class"), F.when(ok, F.round(-best["s"], 4)).otherwise(0.0).alias("score"))

@@ -22,6 +22,7 @@ for _name in (
     "operators.ledgers",
     "operators.messages",
     "operators.tables",
+    "operators.classification",
 ):
     import_module(f"tracewell.{_name}")
 
