@@ -23,6 +23,8 @@ for _name in (
     "operators.messages",
     "operators.tables",
     "operators.classification",
+    "operators.planning",
+    "sources.files",
 ):
     import_module(f"tracewell.{_name}")
 

@@ -119,3 +119,13 @@ def s23(spark, d):
 def s24(spark, d):
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("evidence_id"), F.col("turn").alias("id"), F.col("turn").alias("created"))
     return text.version_chain(rows)
+
+
+@query(
+    "s07_references",
+    """SELECT s_suppkey, concat('₹', s_suppkey, ' ', s_name, ' 😀 & <b> ', chr(34), 'é', chr(34), ' &bad; &#0; &') AS text FROM supplier""",
+)
+def s07_references(spark, d):
+    """Named, decimal and hexadecimal references, beyond the basic plane too; others stay as they are."""
+    raw = F.concat(F.lit("<p>&#8377;"), F.col("s_suppkey").cast("string"), F.lit("&nbsp;"), F.col("s_name"), F.lit(" &#x1F600; &AMP; &lt;b&gt; &quot;&#xe9;&#34; &bad; &#0; &</p>"))
+    return table(spark, d, "supplier").select("s_suppkey", text.html_to_text(raw).alias("text"))
