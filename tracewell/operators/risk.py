@@ -49,12 +49,19 @@ def tier(score: Column) -> Column:
 
 
 def cooccurrences(t: DataFrame, hour: int = 3_600_000_000, ahead: int = 64) -> DataFrame:
-    """Per account: rows of other accounts within an hour among the ``ahead`` next rows of the account's day, by (us, id)."""
-    own = t.select("id", "us", "day", F.col("sender").alias("account"))
-    w = Window.partitionBy("day").orderBy("us", "id").rowsBetween(1, ahead)
-    near = F.collect_list(F.struct("us", "account")).over(w)
-    n = F.size(F.filter("near", lambda x: (x["us"] - F.col("us") <= hour) & (x["account"] != F.col("account"))))
-    return own.withColumn("near", near).groupBy("account").agg(F.sum(n).alias("n"))
+    """Per account: pairs with rows of other accounts, within an hour and at most ``ahead`` places apart.
+
+    A row is an account of a transaction, sender and receiver alike; rows are ordered by time, id and account, and a
+    pair counts for both of its accounts.  Rows of the hours before and after lie beside those of each hour, so pairs
+    across its ends are found and a task sorts three hours at most.
+    """
+    both = t.select("id", "us", F.explode(F.array_distinct(F.array("sender", "receiver"))).alias("account")).where("account IS NOT NULL")
+    cell = F.floor(F.col("us") / hour)
+    rows = both.select("*", F.explode(F.array(*[F.struct((cell + k).alias("cell"), F.lit(k == 0).alias("own")) for k in (-1, 0, 1)])).alias("c")).select("id", "us", "account", "c.*")
+    w = Window.partitionBy("cell").orderBy("us", "id", "account").rowsBetween(-ahead, ahead)
+    near = rows.withColumn("near", F.collect_list(F.struct("us", "account")).over(w)).where("own")
+    n = F.size(F.filter("near", lambda x: (F.abs(x["us"] - F.col("us")) <= hour) & (x["account"] != F.col("account"))))
+    return near.groupBy("account").agg(F.sum(n).alias("n"))
 
 
 def unusual_amounts(t: DataFrame, factor: float = 3.0) -> DataFrame:
@@ -95,8 +102,9 @@ def k01(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "k03_cooccurrences",
-    f"""WITH {TX}, r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY us, id) AS k FROM t)
-SELECT x.sender AS account, count(y.id) AS n FROM r x LEFT JOIN r y ON x.day = y.day AND y.k > x.k AND y.k <= x.k + 64 AND y.us - x.us <= 3600000000 AND y.sender <> x.sender GROUP BY 1""",
+    f"""WITH {TX}, u AS (SELECT id, us, sender AS account FROM t UNION SELECT id, us, receiver FROM t), r AS (SELECT *, row_number() OVER (ORDER BY us, id, account) AS k FROM u),
+p AS (SELECT x.account AS a, y.account AS b FROM r x JOIN r y ON y.k > x.k AND y.k <= x.k + 64 AND y.us - x.us <= 3600000000 AND y.account <> x.account)
+SELECT u.account, count(p.a) AS n FROM (SELECT DISTINCT account FROM u) u LEFT JOIN (SELECT a FROM p UNION ALL SELECT b FROM p) p ON p.a = u.account GROUP BY 1""",
 )
 def k03(spark, d):
     return cooccurrences(transactions(spark, d))

@@ -24,6 +24,9 @@ for _name in (
     "operators.tables",
     "operators.classification",
     "operators.planning",
+    "operators.gazetteer",
+    "operators.linking",
+    "functions.display",
     "sources.files",
 ):
     import_module(f"tracewell.{_name}")
