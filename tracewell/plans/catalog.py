@@ -26,6 +26,8 @@ for _name in (
     "operators.planning",
     "operators.gazetteer",
     "operators.linking",
+    "operators.wiring",
+    "operators.casework",
     "functions.display",
     "sources.files",
 ):
