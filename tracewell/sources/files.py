@@ -282,7 +282,7 @@ def pdf_text(data: bytes) -> str:
                 said += _pdf_string(bytes.fromhex(re.sub(rb"\s", b"", m["h"]).decode().ljust(2, "0")[: len(re.sub(rb"\s", b"", m["h"])) // 2 * 2]))
             elif m["l"] or (m["y"] and float(m["y"]) != 0):
                 said += "\n"
-        out.append(said)
+        out.append(said.strip())
     links = dict.fromkeys(_pdf_string(u) for u in re.findall(rb"/URI\s*\(((?:\\.|[^\\()])*)\)", data))
     return tidy("\n".join([*out, *links])) or "(no text in the file)"
 
