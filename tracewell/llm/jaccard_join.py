@@ -13,7 +13,8 @@ All orders put the tokens that many documents hold last.  Any total order gives
 how well those tokens are known matters for speed alone.
 
 Copies are one node.  Only what decides the components is verified: in every group of the index each
-document is first compared with the group's hub; then the pairs that the links found so far leave in
+document is first compared with the group's hub, the member with the fewest tokens before the shared one (of a group of
+copies that is the one with the fewest changes, which most others are similar to); then the pairs that the links found so far leave in
 different components are compared, all of them.
 """
 
@@ -299,7 +300,7 @@ def similar_components(
     )
     postings = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     groups = ws.table(
-        postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n", "pos")).alias("hub")).where("size > 1"),
+        postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "id", "n")).alias("hub")).where("size > 1"),
         "groups",
     )
     maybe, _ = KeyFilter(ws, groups, F.xxhash64("token"), "groups-filter").split(postings, F.xxhash64("token"))
