@@ -446,30 +446,47 @@ def test_foreign_scripts_are_rejected(spark, docs):
     assert all(r.rejected for r in language_id.predict(spark, odd, model).collect())
 
 
-def test_lm_scores_match_plain_python(spark):
-    rows = [(1, "a b a b c"), (2, "a b b c"), (3, "b a zz a"), (4, None), (5, ""), (6, "c c a b")]
+@pytest.mark.parametrize("held, filter_bits", [((500_000, 3_000_000), 32768), ((500_000, 0), 32768), ((500_000, 0), 8), ((1, 0), 8), ((0, 0), 32768), ((2, 3), 8)])
+def test_lm_scores_match_plain_python(spark, monkeypatch, held, filter_bits):
+    monkeypatch.setattr(lm_scoring, "HELD_WORDS", held[0])
+    monkeypatch.setattr(lm_scoring, "HELD_BIGRAMS", held[1])
+    if filter_bits == 8:  # a full filter: every bigram is asked for
+        monkeypatch.setattr(lm_scoring.Filter, "__call__", lambda self, key: np.ones(len(key), bool))
+    rows = [(1, "a b a b c"), (2, "a b b c"), (3, "b a zz a"), (4, None), (5, ""), (6, "c c a b"), (6, "Zz c once"), (None, "c c a b")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_scoring.score(spark, d, d.where("doc_id <= 2")).collect()}
-    texts = {i: lm_scoring.words(t) for i, t in rows}
-    count = Counter(w for t in texts.values() for w in t)
-    vocab = {w for w, n in count.items() if n >= 2}
-    seq = {i: [w if w in vocab else "?" for w in t] for i, t in texts.items()}
-    pairs = lambda ids: [(h, w) for i in ids for h, w in zip(["<s>", *seq[i]], seq[i])]
-    kept = {k for k, n in Counter(pairs(seq)).items() if n >= 2 and "?" not in k}
-
-    def loss(ids, i):
-        big, hist, uni = Counter(pairs(ids)), Counter(h for h, _ in pairs(ids)), Counter(w for _, w in pairs(ids))
+    texts = [lm_scoring.words(t) for _, t in rows]
+    vocab = {w for t in texts for w in t}
+
+    def losses(chosen, n):
+        pairs = Counter(p for t in chosen for p in zip(["", *t], t))
+        own, starts = Counter(w for t in chosen for w in t), sum(bool(t) for t in chosen)
         total = 0.0
-        share = lambda k: (big[k] - 0.75) / hist[k[0]] if k in kept and big[k] else 0.0
-        for h, w in pairs([i]):
-            rest = 1 - sum(share(k) for k in kept if k[0] == h)
-            total -= np.log(share((h, w)) + rest * (uni[w] + 1) / (sum(uni.values()) + len(vocab) + 1))
-        return total / len(seq[i])
-
-    for i in (1, 2, 3, 6):
-        t, b = loss([1, 2], i), loss(list(seq), i)
-        assert got[i].target_loss == pytest.approx(t) and got[i].background_loss == pytest.approx(b) and got[i].xent_diff == pytest.approx(t - b)
-    assert got[4].xent_diff is None and got[5].n_tokens == 0
+        for h, w in zip(["", *n], n):
+            base, all_h = (own[w] + 1) / (sum(own.values()) + len(vocab)), own[h] if h else starts
+            total -= np.log(0.75 * pairs[h, w] / all_h + 0.25 * base if all_h else base)
+        return total / len(n)
+
+    for goal in (texts[:2], []):
+        got = lm_scoring.score(spark, d, d.where("doc_id <= 2") if goal else d.limit(0)).collect()
+        want = [(i, len(x), *((t := losses(goal, x)), (b := losses(texts, x)), t - b)) if x else (i, 0, None, None, None) for (i, _), x in zip(rows, texts)]
+        order = lambda r: (str(r[0]), r[1], r[2] or 0)
+        assert len(got) == len(want)
+        for g, x in zip(sorted(map(tuple, got), key=order), sorted(want, key=order)):
+            assert g[:2] == x[:2] and [*g[2:]] == [v if v is None else pytest.approx(v, abs=1e-5) for v in x[2:]]
+
+
+def test_lm_counts_grow_with_the_texts(spark):
+    """Every bigram that occurs twice is in the model, however many there are."""
+    some, more = ([(i, f"w{i} x{i} y{i} w{i} x{i}") for i in range(n)] for n in (20, 200))
+    for rows in (some, more):
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        got = lm_scoring.score(spark, d, d.limit(0)).collect()
+        # Twice of two: the second and fifth words' share is whole.
+        size, vocab = 5 * len(rows), 3 * len(rows)
+        u = [(c + 1) / (size + vocab) for c in (2, 2, 1, 2, 2)]
+        share = [1 / len(rows), 1, 0.5, 1, 1]
+        want = -np.mean([np.log(0.75 * s + 0.25 * x) for s, x in zip(share, u)])
+        assert all(abs(r.background_loss - want) < 1e-5 for r in got)
 
 
 def test_lm_on_odd_tables(spark, odd, empty):

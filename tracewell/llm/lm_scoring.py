@@ -1,32 +1,36 @@
 """Cross-entropy difference of two word-bigram models over one vocabulary.
 
-The background model counts all documents, the target model those of a target set.  Both use the
-vocabulary of the words that all documents hold most often, with one symbol for the others, absolute
-discounting and interpolation with add-one unigrams.  A document's score is the mean, over its
-tokens, of target loss less background loss (nats): below 0 it is more like the target.
-
-All counts cover every document and every token.  What the scorers hold is bounded: ``VOCABULARY``
-words and ``BIGRAMS`` bigrams (those of the highest counts); the mass of other bigrams goes to the
-history's unigram weight, so each distribution still sums to one.
+The background model counts all documents, the target model those of a target set.  The vocabulary
+is every word of either.  A word's probability after another mixes the bigram's share of its history
+(``WEIGHT``) with the add-one share of the word; what a history's bigrams leave open is the end of
+the text, so each distribution sums to one.  A document's score is the mean, over its tokens, of
+target loss less background loss (nats): below 0 it is more like the target.
+
+No word or bigram is cut: the tables of counts grow with the input.  The scorers hold the counts of
+the most frequent words and bigrams (``HELD_WORDS``, ``HELD_BIGRAMS``); a token that needs another
+count is looked up by a join, which no frequent key can skew.  A scored document is part of the
+background, so a bigram that is in no table occurred once and not in the target: a bounded bit filter
+settles most of these where they are read.  Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import KeyFilter, Workspace, ship
 
-VOCABULARY = 50_000
-BIGRAMS = 400_000
-DISCOUNT = 0.75
-#: Distinct words, and bigrams, that a task counts before it passes the counts on.
-FLUSH_WORDS, FLUSH_BIGRAMS = 400_000, 3_000_000
+HELD_WORDS, HELD_BIGRAMS = 500_000, 3_000_000
+WEIGHT = 0.75
+#: Tokens that a task counts before it passes the counts on; words whose hashes it remembers.
+FLUSH_TOKENS, KNOWN_WORDS = 3_000_000, 400_000
+#: The filter has this many blocks of as many bits.
+FILTER_BLOCKS, FILTER_BITS = 4096, 32768
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -34,10 +38,6 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _batch(names, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-
 def _cut(counted: DataFrame, most: int) -> int:
     """The smallest count of at least 2 that no more than ``most`` rows reach."""
     sizes = counted.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))
@@ -48,112 +48,105 @@ def _cut(counted: DataFrame, most: int) -> int:
     return max(2, reached.agg(F.min("n")).first()[0] or (1 << 62))
 
 
-def vocabulary(spark: SparkSession, docs: DataFrame, ws: Workspace, most: int = VOCABULARY) -> list[str]:
-    def count(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(words(text))
-                if len(seen) >= FLUSH_WORDS:
-                    yield _batch(["word", "n"], list(seen), list(seen.values()))
-                    seen.clear()
-        if seen:
-            yield _batch(["word", "n"], list(seen), list(seen.values()))
+class Codes(dict):
+    """Hashes of words, computed once for each word while it is remembered."""
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    often = ws.table(counted.where("n >= 2"), "words")
-    return sorted(r.word for r in often.where(F.col("n") >= _cut(often, most)).select("word").collect())
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
 
+    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(history hashes, word hashes, tokens of each text)."""
+        own = [np.fromiter(map(self.__getitem__, words(t)), np.uint64) for t in texts]
+        sizes = np.array([len(x) for x in own], np.int64)
+        word = np.concatenate(own or [np.empty(0, np.uint64)]).view(np.int64)
+        history = np.append(START, word[:-1])[: len(word)]
+        history[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+        return history, word, sizes
 
-class Coder:
-    """Words to numbers: 0 stands for unknown ones, the last number for a document's start."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.start = len(vocabulary) + 1
-        self.width = len(vocabulary) + 2
+#: The history of a text's first word: the hash of the empty string, which is no word.
+START = np.array([xxhash.xxh64_intdigest(b"")], np.uint64).view(np.int64)[0]
 
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(history numbers, word numbers, tokens of each text)."""
-        get, ids, sizes = self.number.get, [], []
-        for text in texts:
-            own = [get(w, 0) for w in words(text)]
-            ids.append(np.array(own, np.int64))
-            sizes.append(len(own))
-        sizes = np.array(sizes, np.int64)
-        word = np.concatenate(ids) if ids else np.empty(0, np.int64)
-        history = np.concatenate([[self.start], word[:-1]]).astype(np.int64) if len(word) else word
-        firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        history[firsts] = self.start
-        return history, word, sizes
+
+def pairs(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of bigrams."""
+    x = history.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
-def _counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(kind, code, n): bigrams (kind 0), histories (1) and words (2), summed for each task."""
+def _counts(docs: DataFrame) -> DataFrame:
+    """(kind, key, n): bigrams (kind 0) and words (1), summed for some millions of tokens at a time."""
 
     def run(batches):
-        code = Coder(vocabulary)
-        names = ["kind", "code", "n"]
-        history_n, word_n = np.zeros(code.width, np.int64), np.zeros(code.width, np.int64)
-        waiting, size = [], 0
+        code, waiting, size = Codes(), ([], []), 0
 
         def flush():
-            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-            for a in range(0, len(keys), 200_000):
-                part = keys[a : a + 200_000]
-                yield _batch(names, np.zeros(len(part), np.int32), part, n[a : a + 200_000])
+            for kind, kept in enumerate(waiting):
+                keys, n = np.unique(np.concatenate(kept), return_counts=True)
+                kept.clear()
+                for a in range(0, len(keys), 200_000):
+                    part = keys[a : a + 200_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[a : a + 200_000])], ["kind", "key", "n"]
+                    )
 
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                history, word, _ = code(batch.column("text").slice(a, 500).to_pylist())
-                history_n += np.bincount(history, minlength=code.width)
-                word_n += np.bincount(word, minlength=code.width)
-                waiting.append((history * code.width + word)[(word > 0) & (history > 0)])
-                size += len(waiting[-1])
-                if size >= FLUSH_BIGRAMS:
+                history, word, sizes = code(batch.column("text").slice(a, 500).to_pylist())
+                waiting[0].append(pairs(history, word))
+                waiting[1].append(np.append(word, np.full((sizes > 0).sum(), START)))
+                size += len(word)
+                if size >= FLUSH_TOKENS:
                     yield from flush()
-                    waiting, size = [], 0
+                    size = 0
         if size:
             yield from flush()
-        for kind, n in ((1, history_n), (2, word_n)):
-            at = np.flatnonzero(n)
-            yield _batch(names, np.full(len(at), kind, np.int32), at, n[at])
 
-    return docs.select("text").mapInArrow(run, "kind int, code long, n long")
+    return docs.select("text").mapInArrow(run, "kind int, key long, n long")
 
 
-class Model:
-    """Bigram probabilities: discounted shares of kept bigrams, unigram weights and unigrams."""
+class Held:
+    """Counts of frequent keys, and the least count that is held."""
 
-    def __init__(self, codes, n, history_n, word_n, width):
-        self.share = np.where(n > 0, (n - DISCOUNT) / np.maximum(1, history_n[codes // width]), 0).astype(np.float64)
-        kept = np.bincount(codes // width, self.share, width)
-        self.rest = 1 - kept
-        uni = (word_n[: width - 1] + 1.0) / (word_n[: width - 1].sum() + width - 1)
-        self.unigram = np.append(uni, 0)
+    def __init__(self, counted: DataFrame, most: int):
+        self.cut = _cut(counted, most)
+        rows = counted.where(F.col("n") >= self.cut).select("key", "n", "t").toArrow()
+        key = rows.column("key").to_numpy()
+        order = np.argsort(key)
+        self.key = key[order]
+        self.n, self.t = (rows.column(c).to_numpy()[order] for c in "nt")
 
-    def losses(self, at, found, history, word) -> np.ndarray:
-        p = self.rest[history] * self.unigram[word] + np.where(found, self.share[at], 0)
-        return -np.log(p)
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether a key is held, its counts n and t, or 1 and 0)."""
+        if not len(self.key):
+            return np.zeros(len(key), bool), np.ones(len(key)), np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        found = self.key[at] == key
+        return found, np.where(found, self.n[at], 1), np.where(found, self.t[at], 0)
 
 
-def _models(spark, docs, target, ws, vocab) -> tuple[np.ndarray, Model, Model]:
-    width = len(vocab) + 2
-    both = _counts(docs, vocab).selectExpr("kind", "code", "n", "0L AS t").unionByName(
-        _counts(target, vocab).selectExpr("kind", "code", "0L AS n", "n AS t")
-    )
-    table = ws.table(
-        both.groupBy("kind", "code").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where("kind > 0 OR n >= 2"),
-        "counts",
-    )
-    bigrams = table.where("kind = 0")
-    kept = bigrams.where(F.col("n") >= _cut(bigrams, BIGRAMS)).select("code", "n", "t").orderBy("code").toArrow()
-    code, n, t = (kept.column(c).to_numpy().astype(np.int64) for c in ("code", "n", "t"))
-    sums = {(k, c): np.zeros(width, np.int64) for k in (1, 2) for c in "nt"}
-    for r in table.where("kind > 0").collect():  # a row for each vocabulary word at most
-        sums[r.kind, "n"][r.code], sums[r.kind, "t"][r.code] = r.n, r.t
-    models = [Model(code, x, sums[1, c], sums[2, c], width) for c, x in (("t", t), ("n", n))]
-    return code, *models
+class Filter:
+    """A bit for each counted key; the bit of another key may be set as well."""
+
+    def __init__(self, counted: DataFrame):
+        block = F.pmod(F.shiftright("key", 20), F.lit(FILTER_BLOCKS)).alias("block")
+        rows = counted.select(block, F.pmod("key", F.lit(FILTER_BITS)).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        self.bits = np.zeros((FILTER_BLOCKS, FILTER_BITS // 8), np.uint8)
+        for r in rows.toLocalIterator():  # 4 KB a block
+            self.bits[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        bit = key & (FILTER_BITS - 1)
+        return (self.bits[(key >> 20) & (FILTER_BLOCKS - 1), bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _lookup(found: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
+    """``tokens`` with the counts of the words in a column."""
+    return tokens.join(found.select(F.col("key").alias(name), F.col("n").alias(f"{name}n"), F.col("t").alias(f"{name}t")), name)
 
 
 def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -161,38 +154,91 @@ def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
 
     ``target`` holds the texts of the target set.  Losses are means over tokens in nats; they are
     null for a text without a word or a null one.  With an empty target set its model is uniform.
+    Null and repeated ids are rows of their own; columns other than doc_id and text are not read.
     """
     ship(spark)
     ws = Workspace(spark, "lm")
-    vocab = vocabulary(spark, docs, ws)
-    codes, goal, general = _models(spark, docs, target, ws, vocab)
+    both = _counts(docs).selectExpr("*", "0L AS t").unionByName(_counts(target).selectExpr("kind", "key", "0L AS n", "n AS t"))
+    counted = ws.table(
+        both.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where("kind = 1 OR n >= 2 OR t >= 1"), "counts"
+    )
+    bigrams, one = counted.where("kind = 0").drop("kind"), counted.where("kind = 1").drop("kind")
+    size, n_all, t_all = one.where(F.col("key") != int(START)).agg(F.count("key"), F.sum("n"), F.sum("t")).first()
+    totals = ((n_all or 0) + size, (t_all or 0) + size)
+    held_word, held_pair, maybe = Held(one, HELD_WORDS), Held(bigrams, HELD_BIGRAMS), Filter(bigrams)
+
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = (
+        f"kind int, row long, doc_id {kind}, n_tokens long, target double, background double, key long, "
+        "a_n float, a_t float, u_n float, u_t float, h long, w long"
+    )
 
     def run(batches):
-        code = Coder(vocab)
+        code = Codes()
         for batch in batches:
+            types = {"doc_id": batch.schema.field("doc_id").type}
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 history, word, sizes = code(part.column("text").to_pylist())
-                pair = history * code.width + word
-                at = np.minimum(np.searchsorted(codes, pair), max(0, len(codes) - 1))
-                found = codes[at] == pair if len(codes) else np.zeros(len(pair), bool)
-                at = at if len(codes) else None
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                sums = [
-                    np.bincount(row, m.losses(at, found, history, word) if at is not None else -np.log(m.rest[history] * m.unigram[word]), len(sizes))
-                    for m in (goal, general)
-                ]
-                empty = sizes == 0
-                means = [x / np.maximum(1, sizes) for x in sums]
-                columns = [pa.array(x, mask=empty) for x in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes), *columns],
-                    ["doc_id", "n_tokens", "target_loss", "background_loss", "xent_diff"],
-                )
+                place = np.repeat(np.arange(len(sizes)), sizes)
+                row = part.column("row").to_numpy()
+                key = pairs(history, word)
+                h_held, *h = held_word(history)
+                w_held, *w = held_word(word)
+                held, *pair = held_pair(key)
+                known = h_held & w_held
+                sure = known & (held | ~maybe(key))
+                shares, bases, sums = [], [], []
+                for ch, cw, c, total in zip(h, w, pair, totals):
+                    shares.append(np.where(ch > 0, WEIGHT / np.maximum(ch, 1), 0))
+                    bases.append(np.where(ch > 0, 1 - WEIGHT, 1) * (cw + 1) / total)
+                    loss = -np.log(shares[-1] * c + bases[-1])
+                    sums.append(np.bincount(place[sure], loss[sure], len(sizes)))
+                ask, lost = known & ~sure, ~known
+                yield _rows(schema, types, 0, row, doc_id=part.column("doc_id"), n_tokens=sizes, background=sums[0], target=sums[1])
+                if ask.any():
+                    four = dict(zip(("a_n", "a_t", "u_n", "u_t"), (x[ask].astype(np.float32) for x in (*shares, *bases))))
+                    yield _rows(schema, types, 1, row[place[ask]], key=key[ask], **four)
+                if lost.any():
+                    yield _rows(schema, types, 2, row[place[lost]], key=key[lost], h=history[lost], w=word[lost])
+
+    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    out = ws.table(numbered.mapInArrow(run, schema), "tokens")
+    tokens = out.where("kind = 2").select("row", "key", "h", "w")
+    for name in "hw":
+        tokens = _lookup(one, tokens, name)
+    terms = [
+        expr
+        for c, total in zip("nt", totals)
+        for expr in (
+            f"float(if(h{c} > 0, {WEIGHT}D / h{c}, 0D)) AS a_{c}",
+            f"float(if(h{c} > 0, 1 - {WEIGHT}D, 1D) * (w{c} + 1) / {max(1, total)}) AS u_{c}",
+        )
+    ]
+    ask = out.where("kind = 1").select("row", "key", "a_n", "a_t", "u_n", "u_t").unionByName(tokens.selectExpr("row", "key", *terms))
+    # A word that is not held occurs less often than its cut, and so do its bigrams.
+    rare = bigrams.where(F.col("n") < max(held_word.cut, held_pair.cut))
+    asked = ask.join(rare, "key", "left").selectExpr(
+        "row", "-ln(a_t * coalesce(t, 0) + u_t) AS target", "-ln(a_n * coalesce(n, 1) + u_n) AS background"
+    )
+    sums = out.where("kind = 0").select("row", "doc_id", "n_tokens", "target", "background").unionByName(asked, allowMissingColumns=True)
+    sums = sums.groupBy("row").agg(
+        F.first("doc_id", True).alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b")
+    )
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    return sums.select(
+        "doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("xent_diff")
+    )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, xent_diff double"
+
+def _rows(schema: str, types: dict, kind: int, row: np.ndarray, **columns) -> pa.RecordBatch:
+    """A batch of ``schema`` with nulls in the columns that are not given."""
+    arrow = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "float": pa.float32()}
+    columns |= {"kind": np.full(len(row), kind, np.int32), "row": row}
+    fields = [(name, types.get(name) or arrow[of]) for name, of in (x.split() for x in schema.split(", "))]
+    return pa.RecordBatch.from_arrays(
+        [(c if isinstance(c, pa.Array) else pa.array(c, t)) if (c := columns.get(n)) is not None else pa.nulls(len(row), t) for n, t in fields],
+        [n for n, _ in fields],
     )
 
 
