@@ -61,7 +61,7 @@ def brute_cycles(transfers, hops=5):
     return found
 
 
-@pytest.mark.parametrize("name, backward", [("m04_trace_forward_all", False), ("m05_trace_backward_all", True)])
+@pytest.mark.parametrize("name, backward", [("m04_trace_forward", False), ("m05_trace_backward", True)])
 def test_traces_cross_days(spark, events, name, backward):
     path, transfers = events
     want = Counter((",".join(map(str, p)), e) for p, _, e in brute_paths(transfers, "U7", 4, backward))
@@ -71,16 +71,16 @@ def test_traces_cross_days(spark, events, name, backward):
 def test_account_paths_cross_days(spark, events):
     path, transfers = events
     want = {">".join(s) for _, s, _ in brute_paths(transfers, "U7", 4)}
-    assert {r.accounts for r in catalog.QUERIES["m06_account_paths_all"](spark, path).collect()} == want
+    assert {r.accounts for r in catalog.QUERIES["m06_account_paths"](spark, path).collect()} == want
 
 
 def test_cycles_of_all_days(spark, events):
     path, transfers = events
     want = brute_cycles(transfers)
-    assert want and {r.txn_ids for r in catalog.QUERIES["m08_circular_flows_all"](spark, path).collect()} == {",".join(map(str, c)) for c in want}
-    found = {r.subject for r in catalog.QUERIES["p03_circular_all"](spark, path).collect()}
+    assert want and {r.txn_ids for r in catalog.QUERIES["m08_circular_flows"](spark, path).collect()} == {",".join(map(str, c)) for c in want}
+    found = {r.subject for r in catalog.QUERIES["p03_circular"](spark, path).collect()}
     assert {tuple(sorted(map(int, x.split("|")))) for x in found} == want
-    kinds = {r.type for r in catalog.QUERIES["p14_findings_cap_all"](spark, path).collect()}
+    kinds = {r.type for r in catalog.QUERIES["p14_findings_cap"](spark, path).collect()}
     assert "CIRCULAR_TXNS" in kinds
 
 
@@ -93,7 +93,7 @@ def test_bursts_of_all_rows(spark, events):
     days = Counter(t.strftime("%Y-%m-%d") for *_, t in transfers)
     want = {(d, n) for d, n in days.items() if n > 3 and n > 2 * len(transfers) / len(days)}
     assert ("2024-02-03", days["2024-02-03"]) in want
-    assert {(r.day, r.n) for r in catalog.QUERIES["a01_day_bursts_all"](spark, path).collect()} == want
+    assert {(r.day, r.n) for r in catalog.QUERIES["a01_day_bursts"](spark, path).collect()} == want
 
 
 @pytest.fixture(scope="module")
@@ -130,13 +130,13 @@ def test_duplicates_of_all_persons(spark, case):
     want = {(min(a, b), max(a, b), 0.6) for a, x, _ in people for b, y, _ in people if a != b and edits(x, y) <= 2}
     want |= {(a, f"S{k}", 0.85) for a, _, m in people for k in (2, 20, 14) if m == k % 97}
     assert ("C20", "C305", 0.6) in want and ("C20", "S20", 0.85) in want
-    assert {(r.a, r.b, r.confidence) for r in catalog.QUERIES["e11_duplicates_all"](spark, path).collect()} == want
+    assert {(r.a, r.b, r.confidence) for r in catalog.QUERIES["e11_duplicates"](spark, path).collect()} == want
 
 
 def test_links_of_all_evidence(spark, case):
     path, customers, links = case
-    got = {(r.entity_id, r.evidence_id) for r in catalog.QUERIES["e15_backfill_all"](spark, path).collect()}
+    got = {(r.entity_id, r.evidence_id) for r in catalog.QUERIES["e15_backfill"](spark, path).collect()}
     assert got == {x for x in links if x[1] % 2}
     everyone, linked = {f"C{k}" for k, _ in customers} | {"S2", "S20", "S14"}, {x for x, _ in links}
-    assert {r.id for r in catalog.QUERIES["r09_semi_join_all"](spark, path).collect()} == linked
-    assert {r.id for r in catalog.QUERIES["r10_anti_join_all"](spark, path).collect()} == everyone - linked
+    assert {r.id for r in catalog.QUERIES["r09_semi_join"](spark, path).collect()} == linked
+    assert {r.id for r in catalog.QUERIES["r10_anti_join"](spark, path).collect()} == everyone - linked
