@@ -9,8 +9,8 @@ target loss less background loss (nats): below 0 it is more like the target.
 No word or bigram is cut: the tables of counts grow with the input.  The scorers hold the counts of
 the most frequent words and bigrams (``HELD_WORDS``, ``HELD_BIGRAMS``); a token that needs another
 count is looked up by a join, which no frequent key can skew.  A scored document is part of the
-background, so a bigram that is in no table occurred once and not in the target: a bounded bit filter
-settles most of these where they are read.  Words and bigrams are told apart by 64-bit hashes.
+background, so a bigram that is in no table occurred in that document alone, once: a bounded bit
+filter settles most of these where they are read.  Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Workspace, ship
+from .common import KeyFilter, Workspace, broadcast_if_small, ship
 
-HELD_WORDS, HELD_BIGRAMS = 500_000, 3_000_000
+HELD_WORDS, HELD_BIGRAMS = 500_000, 4_000_000
 WEIGHT = 0.75
 #: Tokens that a task counts before it passes the counts on; words whose hashes it remembers.
 FLUSH_TOKENS, KNOWN_WORDS = 3_000_000, 400_000
@@ -79,34 +79,38 @@ def pairs(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): bigrams (kind 0) and words (1), summed for some millions of tokens at a time."""
+    """(kind, key, n, t): bigrams (kind 0) and words (1) of all texts and of the target's, summed for some millions of tokens at a time."""
 
     def run(batches):
-        code, waiting, size = Codes(), ([], []), 0
+        code, size = Codes(), 0
+        waiting = {(kind, goal): [] for kind in (0, 1) for goal in (False, True)}
 
         def flush():
-            for kind, kept in enumerate(waiting):
-                keys, n = np.unique(np.concatenate(kept), return_counts=True)
+            for (kind, goal), kept in waiting.items():
+                keys, n = np.unique(np.concatenate(kept or [np.empty(0, np.int64)]), return_counts=True)
                 kept.clear()
                 for a in range(0, len(keys), 200_000):
-                    part = keys[a : a + 200_000]
+                    part, m = keys[a : a + 200_000], n[a : a + 200_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[a : a + 200_000])], ["kind", "key", "n"]
+                        [pa.array(x) for x in (np.full(len(part), kind, np.int32), part, m, m * goal)], ["kind", "key", "n", "t"]
                     )
 
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
-                history, word, sizes = code(batch.column("text").slice(a, 500).to_pylist())
-                waiting[0].append(pairs(history, word))
-                waiting[1].append(np.append(word, np.full((sizes > 0).sum(), START)))
-                size += len(word)
+                part = batch.slice(a, 500)
+                texts, flags = part.column("text").to_pylist(), part.column("goal").to_pylist()
+                for goal in {*flags}:
+                    history, word, sizes = code([t for t, f in zip(texts, flags) if f == goal])
+                    waiting[0, goal].append(pairs(history, word))
+                    waiting[1, goal].append(np.append(word, np.full((sizes > 0).sum(), START)))
+                    size += len(word)
                 if size >= FLUSH_TOKENS:
                     yield from flush()
                     size = 0
         if size:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long")
+    return docs.select("text", "goal").mapInArrow(run, "kind int, key long, n long, t long")
 
 
 class Held:
@@ -118,15 +122,16 @@ class Held:
         key = rows.column("key").to_numpy()
         order = np.argsort(key)
         self.key = key[order]
-        self.n, self.t = (rows.column(c).to_numpy()[order] for c in "nt")
+        counts = (rows.column(c).to_numpy()[order] for c in "nt")
+        self.n, self.t = (x.astype(np.min_scalar_type(x.max(initial=0))) for x in counts)
 
-    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(whether a key is held, its counts n and t, or 1 and 0)."""
+    def __call__(self, key: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether a key is held, its counts n and t, or those of a key that occurs here alone)."""
         if not len(self.key):
-            return np.zeros(len(key), bool), np.ones(len(key)), np.zeros(len(key))
+            return np.zeros(len(key), bool), np.ones(len(key)), goal * 1
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         found = self.key[at] == key
-        return found, np.where(found, self.n[at], 1), np.where(found, self.t[at], 0)
+        return found, np.where(found, self.n[at], 1).astype(np.float64), np.where(found, self.t[at], goal).astype(np.float64)
 
 
 class Filter:
@@ -152,15 +157,15 @@ def _lookup(found: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
 def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and xent_diff of every row of ``docs``.
 
-    ``target`` holds the texts of the target set.  Losses are means over tokens in nats; they are
+    ``target`` holds the doc_id of the documents of the target set.  Losses are means over tokens in nats; they are
     null for a text without a word or a null one.  With an empty target set its model is uniform.
     Null and repeated ids are rows of their own; columns other than doc_id and text are not read.
     """
     ship(spark)
     ws = Workspace(spark, "lm")
-    both = _counts(docs).selectExpr("*", "0L AS t").unionByName(_counts(target).selectExpr("kind", "key", "0L AS n", "n AS t"))
+    marked = mark(ws, docs.select("doc_id", "text"), target)
     counted = ws.table(
-        both.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where("kind = 1 OR n >= 2 OR t >= 1"), "counts"
+        _counts(marked).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where("kind = 1 OR n >= 2"), "counts"
     )
     bigrams, one = counted.where("kind = 0").drop("kind"), counted.where("kind = 1").drop("kind")
     size, n_all, t_all = one.where(F.col("key") != int(START)).agg(F.count("key"), F.sum("n"), F.sum("t")).first()
@@ -169,7 +174,7 @@ def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = (
-        f"kind int, row long, doc_id {kind}, n_tokens long, target double, background double, key long, "
+        f"kind int, row long, doc_id {kind}, n_tokens long, target double, background double, key long, goal int, "
         "a_n float, a_t float, u_n float, u_t float, h long, w long"
     )
 
@@ -183,9 +188,10 @@ def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
                 place = np.repeat(np.arange(len(sizes)), sizes)
                 row = part.column("row").to_numpy()
                 key = pairs(history, word)
-                h_held, *h = held_word(history)
-                w_held, *w = held_word(word)
-                held, *pair = held_pair(key)
+                goal = part.column("goal").to_numpy(zero_copy_only=False)[place].astype(np.int32)
+                h_held, *h = held_word(history, goal)
+                w_held, *w = held_word(word, goal)
+                held, *pair = held_pair(key, goal)
                 known = h_held & w_held
                 sure = known & (held | ~maybe(key))
                 shares, bases, sums = [], [], []
@@ -198,13 +204,13 @@ def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
                 yield _rows(schema, types, 0, row, doc_id=part.column("doc_id"), n_tokens=sizes, background=sums[0], target=sums[1])
                 if ask.any():
                     four = dict(zip(("a_n", "a_t", "u_n", "u_t"), (x[ask].astype(np.float32) for x in (*shares, *bases))))
-                    yield _rows(schema, types, 1, row[place[ask]], key=key[ask], **four)
+                    yield _rows(schema, types, 1, row[place[ask]], key=key[ask], goal=goal[ask], **four)
                 if lost.any():
-                    yield _rows(schema, types, 2, row[place[lost]], key=key[lost], h=history[lost], w=word[lost])
+                    yield _rows(schema, types, 2, row[place[lost]], key=key[lost], goal=goal[lost], h=history[lost], w=word[lost])
 
-    numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    numbered = marked.withColumn("row", F.monotonically_increasing_id())
     out = ws.table(numbered.mapInArrow(run, schema), "tokens")
-    tokens = out.where("kind = 2").select("row", "key", "h", "w")
+    tokens = out.where("kind = 2").select("row", "key", "goal", "h", "w")
     for name in "hw":
         tokens = _lookup(one, tokens, name)
     terms = [
@@ -215,11 +221,11 @@ def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
             f"float(if(h{c} > 0, 1 - {WEIGHT}D, 1D) * (w{c} + 1) / {max(1, total)}) AS u_{c}",
         )
     ]
-    ask = out.where("kind = 1").select("row", "key", "a_n", "a_t", "u_n", "u_t").unionByName(tokens.selectExpr("row", "key", *terms))
+    ask = out.where("kind = 1").select("row", "key", "goal", "a_n", "a_t", "u_n", "u_t").unionByName(tokens.selectExpr("row", "key", "goal", *terms))
     # A word that is not held occurs less often than its cut, and so do its bigrams.
     rare = bigrams.where(F.col("n") < max(held_word.cut, held_pair.cut))
     asked = ask.join(rare, "key", "left").selectExpr(
-        "row", "-ln(a_t * coalesce(t, 0) + u_t) AS target", "-ln(a_n * coalesce(n, 1) + u_n) AS background"
+        "row", "-ln(a_t * coalesce(t, goal) + u_t) AS target", "-ln(a_n * coalesce(n, 1) + u_n) AS background"
     )
     sums = out.where("kind = 0").select("row", "doc_id", "n_tokens", "target", "background").unionByName(asked, allowMissingColumns=True)
     sums = sums.groupBy("row").agg(
@@ -242,14 +248,16 @@ def _rows(schema: str, types: dict, kind: int, row: np.ndarray, **columns) -> pa
     )
 
 
-def members(ws: Workspace, docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``; other rows are dropped before the shuffle."""
-    maybe, _ = KeyFilter(ws, ids, F.xxhash64("doc_id"), name).split(docs, F.xxhash64("doc_id"))
-    return maybe.join(ids, "doc_id", "left_semi")
+def mark(ws: Workspace, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with the column goal: whether doc_id is in ``ids``; only rows that a filter of the ids lets through are shuffled."""
+    ids = ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    maybe, none = KeyFilter(ws, ids, F.xxhash64("doc_id"), "goal").split(docs, F.xxhash64("doc_id"))
+    found = maybe.join(broadcast_if_small(ids.withColumn("found", F.lit(True)), ids.count()), "doc_id", "left")
+    return found.select(*docs.columns, F.col("found").isNotNull().alias("goal")).unionByName(none.withColumn("goal", F.lit(False)))
 
 
 def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` scored against those labelled of good quality; odd rows as in ``score``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return score(spark, docs, members(Workspace(spark, "target"), docs, good, "good"))
+    return score(spark, docs, good)
