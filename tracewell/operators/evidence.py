@@ -302,9 +302,13 @@ def e06(spark, d):
     return merge_court(v)
 
 
-@query("e11_duplicates")
+@query(
+    "e11_duplicates",
+    f"""WITH {ENTITIES}, p AS (SELECT a.id AS a, b.id AS b, 0.85::DOUBLE AS c FROM n a JOIN n b ON a.case_id = b.case_id AND a.norm = b.norm AND a.id < b.id AND a.type <> b.type
+  UNION ALL SELECT a.id, b.id, 0.6 FROM n a JOIN n b ON a.case_id = b.case_id AND a.id < b.id AND a.type = 'person' AND b.type = 'person' AND levenshtein(a.value, b.value) <= 2)
+SELECT a, b, max(c) AS confidence FROM p GROUP BY 1, 2""",
+)
 def e11(spark, d):
-    """Of all persons, whose pairs DuckDB takes too long to compare: tests use plain Python."""
     return duplicate_candidates(entities(spark, d))
 
 
