@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,19 @@ def test_similar_components_of_odd_tables(spark, odd, empty):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 6, 7, 8, 9]
 
 
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """However long a partition's texts are, a Python worker of the join gets a few megabytes of them at a time."""
+    d = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 100000) AS text")
+    assert {r.n_shingles for r in jaccard_join.similar_components(spark, d).collect()} == {1}
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "n"])
+
+    got = d.mapInArrow(run, "rows long, n long").collect()
+    assert sum(r.rows for r in got) == 40 and max(r.n for r in got) < 4 << 20
+
+
 def test_near_copies_without_ids_go(spark):
     long = " ".join(f"k{j}" for j in range(200))
     rows = [(None, long), (None, long + " more"), (None, "alone here"), (3, long + " extra"), (3, "two words"), (3, None)]
@@ -396,6 +410,21 @@ def test_toxicity(spark, odd, empty):
     assert {r.doc_id: r.toxic for r in toxicity.toxic_scores(spark, odd, lab).collect()}[2] is False
 
 
+def test_training_rows_are_small_and_summed_in_doubles():
+    """A feature of a training row takes 12 bytes of the driver, and the sums are those of doubles."""
+    rnd = np.random.default_rng(5)
+    rows = [(np.sort(rnd.choice(50, 20, False)), np.log1p(rnd.integers(1, 9, 20)).astype(np.float32)) for _ in range(30)]
+    got, w, r = toxicity.Rows(rows, 50), rnd.normal(size=50), rnd.normal(size=30)
+    dense = np.zeros((30, 50))
+    for k, (at, x) in enumerate(rows):
+        dense[k, at] = x
+    keep = np.arange(30) % 3 > 0
+    for own, want, v in ((got, dense, r), (got.take(keep), dense[keep], r[keep])):
+        assert own.row.nbytes + own.at.nbytes + own.x.nbytes == 12 * 20 * own.n
+        assert np.allclose(own.dot(w), want @ w, rtol=1e-12) and np.allclose(own.back(v), want.T @ v, rtol=1e-12)
+        assert np.allclose(own.dot(w.astype(np.float32)), want @ w.astype(np.float32).astype(float), rtol=1e-12)
+
+
 def test_toxicity_features_do_not_depend_on_blocks(monkeypatch):
     text = "Slurry words, 12 and_others " * 200
     whole = dict(zip(*(x.tolist() for x in toxicity.Features()(text))))

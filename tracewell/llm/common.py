@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast by hint only when it has at most this many rows; beyond it Spark shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch between an executor and its Python workers; both hold a few at once.
+BATCH_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -187,6 +189,13 @@ def trimmed(run):
     return wrapped
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes unless it has a bound: by rows alone, one is a whole input partition of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Workspace, by_keys, fresh, ship, trimmed
+from .common import KeyFilter, Workspace, bounded_batches, by_keys, fresh, ship, trimmed
 from .components import components
 from .lm_scoring import _cut
 from .tokens import batches_by_bytes
@@ -287,6 +287,7 @@ def similar_components(
     table gives no rows; other columns are ignored.
     """
     ship(spark)
+    bounded_batches(spark)
     ws = workspace or Workspace(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = frequent_tokens(docs, ws, shingle)

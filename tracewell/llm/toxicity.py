@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, trimmed
+from .common import bounded_batches, ship, trimmed
 from .tokens import batches_by_bytes
 
 FEATURES = 1 << 18
@@ -77,26 +77,26 @@ class Features:
 
 
 class Rows:
-    """Sparse rows: feature numbers, weights and row bounds."""
+    """Sparse rows: feature numbers, weights and row bounds, in 12 bytes a feature; sums are in doubles."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.width = width
         sizes = np.array([len(a) for a, _ in rows], np.int64)
-        self.row = np.repeat(np.arange(len(rows)), sizes)
-        self.at = np.concatenate([a for a, _ in rows]) if rows else np.empty(0, np.int64)
-        self.x = np.concatenate([x for _, x in rows]).astype(np.float64) if rows else np.empty(0)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        self.at = np.concatenate([a for a, _ in rows], dtype=np.int32, casting="same_kind") if rows else np.empty(0, np.int32)
+        self.x = np.concatenate([x for _, x in rows], dtype=np.float32) if rows else np.empty(0, np.float32)
         self.n = len(rows)
 
     def take(self, keep: np.ndarray) -> Rows:
         out = object.__new__(Rows)
-        new = np.cumsum(keep) - 1
+        new = np.cumsum(keep, dtype=np.int32) - np.int32(1)
         use = keep[self.row]
         out.row, out.at, out.x = new[self.row[use]], self.at[use], self.x[use]
         out.n, out.width = int(keep.sum()), self.width
         return out
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.x * w[self.at], self.n)
+        return np.bincount(self.row, np.multiply(self.x, w[self.at], dtype=np.float64), self.n)
 
     def back(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, self.x * r[self.row], self.width)
@@ -200,15 +200,19 @@ def train(
     if not found:
         return None
     found.sort(key=lambda r: (r.doc_id, r.f))
-    sparse = [(np.frombuffer(r.f, "<u4", len(r.f) // 8).astype(np.int64), np.frombuffer(r.f, "<f4", -1, len(r.f) // 2)) for r in found]
-    common = np.bincount(np.concatenate([at for at, _ in sparse]), minlength=FEATURES) >= LEAST_ROWS
+    sparse = [(np.frombuffer(r.f, "<u4", len(r.f) // 8), np.frombuffer(r.f, "<f4", -1, len(r.f) // 2)) for r in found]
+    seen = np.zeros(FEATURES, np.int64)
+    for at, _ in sparse:
+        seen[at] += 1  # a row has a feature once
+    common = seen >= LEAST_ROWS
     common[0] = True  # at least one feature
-    kept = np.where(common, np.cumsum(common) - 1, -1)
+    kept = np.where(common, np.cumsum(common, dtype=np.int32) - np.int32(1), np.int32(-1))
     rows = Rows([(kept[at[common[at]]], x[common[at]]) for at, x in sparse], int(common.sum()))
     fold = np.array([zlib.crc32(str(r.doc_id).encode()) % FOLDS for r in found])
+    answers = [np.array([float(r[c] > 0) for r in found]) for c in categories]
+    del found, sparse  # the models need much memory themselves
     before, weights = np.zeros((rows.n, 0)), []
-    for c in categories:
-        y = np.array([float(r[c] > 0) for r in found])
+    for c, y in zip(categories, answers):
         weights.append(fit(rows, before, y))
         if c == last:
             break
@@ -285,6 +289,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataF
     table gives no rows.
     """
     ship(spark)
+    bounded_batches(spark)
     chain = train(spark, docs, labels, CATEGORIES)
     at = CATEGORIES.index("toxic")
 
