@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import pickle
 import random
 import re
 import zlib
@@ -518,6 +519,29 @@ def test_lm_counts_grow_with_the_texts(spark):
         assert all(abs(r.background_loss - want) < 1e-5 for r in got)
 
 
+def test_lm_scorers_share_files_of_counts(spark, tmp_path):
+    """What goes to a scorer with its task is a path, however many counts there are."""
+    counted = spark.range(20_000).selectExpr("id * 7919 - 1000 AS key", "2 + id % 300 AS n", "id % 2 AS t")
+    for held in (lm_scoring.Held(counted, 50_000, f"file://{tmp_path}/held/a"), lm_scoring.Filter(counted, f"file://{tmp_path}/held/b")):
+        assert len(pickle.dumps(held)) < 2000
+        own = pickle.loads(pickle.dumps(held)).load()
+        keys = np.arange(20_000) * 7919 - 1000
+        if isinstance(own, lm_scoring.Filter):
+            assert own(keys).all() and own(keys + 1).mean() < 0.1
+        else:
+            found, n, t = own(np.append(keys, 5), np.append(keys, 5) % 1 + 1)
+            assert found.tolist() == [True] * 20_000 + [False] and n.tolist() == [2 + i % 300 for i in range(20_000)] + [1]
+            assert t.tolist() == [i % 2 for i in range(20_000)] + [1]
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    ids = lambda: {b.toString() for k in range(x.size()) for b in [x.apply(k)]} if (x := blocks.getAllBlocks()) is not None else set()
+    before = ids()
+    got = Workspace(spark, "tidy", tidy=True).table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert ids() <= before and got.count() == 7
+
+
 def test_lm_on_odd_tables(spark, odd, empty):
     assert lm_scoring.score(spark, odd, empty).count() == len(ODD)
     assert lm_scoring.score(spark, empty, empty).collect() == []

@@ -41,11 +41,12 @@ class Workspace:
 
     ``table`` writes a frame as Parquet and returns the reread frame; ``drop`` deletes one that is
     no longer needed.  What is left is deleted when the Python driver ends, because lazily
-    evaluated results may still read it.
+    evaluated results may still read it.  With ``tidy`` the shuffle files of a write go at its end,
+    not when the driver's garbage happens to be collected.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, *, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
@@ -53,7 +54,15 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        if self.tidy:
+            self.spark.conf.set(key, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Workspace, broadcast_if_small, ship
+from .common import KeyFilter, Workspace, bounded_batches, broadcast_if_small, open_shared, ship, trimmed
 
 HELD_WORDS, HELD_BIGRAMS = 500_000, 4_000_000
 WEIGHT = 0.75
@@ -31,6 +31,8 @@ WEIGHT = 0.75
 FLUSH_TOKENS, KNOWN_WORDS = 3_000_000, 400_000
 #: The filter has this many blocks of as many bits.
 FILTER_BLOCKS, FILTER_BITS = 4096, 32768
+#: Shares of the keys that are looked up one after the other, so that the shuffle files of one alone take disk.
+ROUNDS = 4
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -110,20 +112,44 @@ def _counts(docs: DataFrame) -> DataFrame:
         if size:
             yield from flush()
 
-    return docs.select("text", "goal").mapInArrow(run, "kind int, key long, n long, t long")
+    return docs.select("text", "goal").mapInArrow(trimmed(run), "kind int, key long, n long, t long")
+
+
+class Arrays:
+    """Arrays in a file of the shared folder; what is pickled is the path.
+
+    Where the folder is a file system of the machine, its workers map one copy of the file.
+    """
+
+    def __init__(self, path: str, **arrays: np.ndarray):
+        self.path = path
+        fs, at = open_shared(path)
+        fs.create_dir(at.rsplit("/", 1)[0])
+        table = pa.RecordBatch.from_arrays([pa.array(a) for a in arrays.values()], list(arrays))
+        with fs.open_output_stream(at) as out, pa.ipc.new_file(out, table.schema) as file:
+            file.write_batch(table)
+
+    def load(self) -> list[np.ndarray]:
+        fs, at = open_shared(self.path)
+        source = pa.memory_map(at) if fs.type_name == "local" else fs.open_input_file(at)
+        file = pa.ipc.open_file(source)
+        return [c.to_numpy() for c in file.get_batch(0).columns]
 
 
 class Held:
     """Counts of frequent keys, and the least count that is held."""
 
-    def __init__(self, counted: DataFrame, most: int):
+    def __init__(self, counted: DataFrame, most: int, path: str):
         self.cut = _cut(counted, most)
         rows = counted.where(F.col("n") >= self.cut).select("key", "n", "t").toArrow()
         key = rows.column("key").to_numpy()
         order = np.argsort(key)
-        self.key = key[order]
-        counts = (rows.column(c).to_numpy()[order] for c in "nt")
-        self.n, self.t = (x.astype(np.min_scalar_type(x.max(initial=0))) for x in counts)
+        n, t = (rows.column(c).to_numpy()[order] for c in "nt")
+        self.arrays = Arrays(path, key=key[order], **{c: x.astype(np.min_scalar_type(x.max(initial=0))) for c, x in (("n", n), ("t", t))})
+
+    def load(self) -> Held:
+        self.key, self.n, self.t = self.arrays.load()
+        return self
 
     def __call__(self, key: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(whether a key is held, its counts n and t, or those of a key that occurs here alone)."""
@@ -137,12 +163,17 @@ class Held:
 class Filter:
     """A bit for each counted key; the bit of another key may be set as well."""
 
-    def __init__(self, counted: DataFrame):
+    def __init__(self, counted: DataFrame, path: str):
         block = F.pmod(F.shiftright("key", 20), F.lit(FILTER_BLOCKS)).alias("block")
         rows = counted.select(block, F.pmod("key", F.lit(FILTER_BITS)).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        self.bits = np.zeros((FILTER_BLOCKS, FILTER_BITS // 8), np.uint8)
+        bits = np.zeros((FILTER_BLOCKS, FILTER_BITS // 8), np.uint8)
         for r in rows.toLocalIterator():  # 4 KB a block
-            self.bits[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
+            bits[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
+        self.arrays = Arrays(path, bits=bits.ravel())
+
+    def load(self) -> Filter:
+        self.bits = self.arrays.load()[0].reshape(FILTER_BLOCKS, FILTER_BITS // 8)
+        return self
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
         bit = key & (FILTER_BITS - 1)
@@ -162,7 +193,8 @@ def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
     Null and repeated ids are rows of their own; columns other than doc_id and text are not read.
     """
     ship(spark)
-    ws = Workspace(spark, "lm")
+    bounded_batches(spark)
+    ws = Workspace(spark, "lm", tidy=True)
     marked = mark(ws, docs.select("doc_id", "text"), target)
     counted = ws.table(
         _counts(marked).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where("kind = 1 OR n >= 2"), "counts"
@@ -170,7 +202,8 @@ def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
     bigrams, one = counted.where("kind = 0").drop("kind"), counted.where("kind = 1").drop("kind")
     size, n_all, t_all = one.where(F.col("key") != int(START)).agg(F.count("key"), F.sum("n"), F.sum("t")).first()
     totals = ((n_all or 0) + size, (t_all or 0) + size)
-    held_word, held_pair, maybe = Held(one, HELD_WORDS), Held(bigrams, HELD_BIGRAMS), Filter(bigrams)
+    words_held, pairs_held = Held(one, HELD_WORDS, ws.path("held/words")), Held(bigrams, HELD_BIGRAMS, ws.path("held/bigrams"))
+    counted_pairs = Filter(bigrams, ws.path("held/filter"))
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = (
@@ -179,7 +212,7 @@ def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        code = Codes()
+        code, held_word, held_pair, maybe = Codes(), words_held.load(), pairs_held.load(), counted_pairs.load()
         for batch in batches:
             types = {"doc_id": batch.schema.field("doc_id").type}
             for a in range(0, batch.num_rows, 500):
@@ -209,7 +242,8 @@ def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
                     yield _rows(schema, types, 2, row[place[lost]], key=key[lost], goal=goal[lost], h=history[lost], w=word[lost])
 
     numbered = marked.withColumn("row", F.monotonically_increasing_id())
-    out = ws.table(numbered.mapInArrow(run, schema), "tokens")
+    out = ws.table(numbered.mapInArrow(trimmed(run), schema), "tokens")
+    ws.drop("held")
     tokens = out.where("kind = 2").select("row", "key", "goal", "h", "w")
     for name in "hw":
         tokens = _lookup(one, tokens, name)
@@ -223,11 +257,17 @@ def score(spark: SparkSession, docs: DataFrame, target: DataFrame) -> DataFrame:
     ]
     ask = out.where("kind = 1").select("row", "key", "goal", "a_n", "a_t", "u_n", "u_t").unionByName(tokens.selectExpr("row", "key", "goal", *terms))
     # A word that is not held occurs less often than its cut, and so do its bigrams.
-    rare = bigrams.where(F.col("n") < max(held_word.cut, held_pair.cut))
-    asked = ask.join(rare, "key", "left").selectExpr(
-        "row", "-ln(a_t * coalesce(t, goal) + u_t) AS target", "-ln(a_n * coalesce(n, 1) + u_n) AS background"
-    )
-    sums = out.where("kind = 0").select("row", "doc_id", "n_tokens", "target", "background").unionByName(asked, allowMissingColumns=True)
+    rare = bigrams.where(F.col("n") < max(words_held.cut, pairs_held.cut))
+    known = ws.table(out.where("kind = 0").select("row", "doc_id", "n_tokens", "target", "background"), "known")
+    sums = known
+    for k in range(ROUNDS):
+        own = F.pmod("key", F.lit(ROUNDS)) == k
+        asked = ask.where(own).join(rare.where(own), "key", "left").selectExpr(
+            "row", "-ln(a_t * coalesce(t, goal) + u_t) AS target", "-ln(a_n * coalesce(n, 1) + u_n) AS background"
+        )
+        asked = asked.groupBy("row").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+        sums = sums.unionByName(ws.table(asked, f"asked-{k}"), allowMissingColumns=True)
+    ws.drop("tokens", "counts")
     sums = sums.groupBy("row").agg(
         F.first("doc_id", True).alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b")
     )
