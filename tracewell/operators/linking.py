@@ -70,7 +70,8 @@ def _registry(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Accounts twice: as typed register entries with a reference, and as bare references that relations name."""
     e = edges(spark, d)
     n = e.select(F.col("source").alias("u")).unionByName(e.select(F.col("target").alias("u"))).distinct()
-    ref = F.concat(F.lit("per-"), F.lpad(F.substring("u", 2, 9), 4, "0"))
+    digits = F.substring("u", 2, 20)
+    ref = F.concat(F.lit("per-"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), "0"))  # lpad alone would cut longer numbers
     entry = n.select(F.concat(F.lit("Z"), "u").alias("id"), F.lit("person").alias("type"), F.concat(F.lit("Holder of "), "u").alias("value"), F.lit(None).cast("string").alias("label"), F.array(ref).alias("refs"), F.lit(2).alias("created"))
     bare = n.select(F.concat(F.lit("A"), "u").alias("id"), F.lit("other").alias("type"), F.upper(ref).alias("value"), F.lit(None).cast("string").alias("label"), F.array().cast("array<string>").alias("refs"), F.lit(1).alias("created"))
     r = e.select(F.concat(F.lit("A"), "source").alias("source"), F.concat(F.when(F.col("weight") % 2 == 0, "A").otherwise("Z"), "target").alias("target"), F.lit("PAID").alias("type"), "weight")
