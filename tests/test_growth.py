@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.plans import catalog
 
@@ -26,3 +27,25 @@ def test_accounts_of_five_digits_keep_their_own_references(spark, tmp_path, name
     rows = [(k, start, a, "purchase", 1.0, f'{{"k": {b}}}') for k, (a, b) in enumerate([(1000, 7), (10001, 7), (10002, 1000), (100010, 7)])]
     spark.createDataFrame(rows, EVENTS).write.parquet(f"{tmp_path}/events.parquet")
     same_as_sql(spark, name, tmp_path, "events")
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["s01_dispatch", "s06_xml", "s09_rtf", "s10_mail", "s12_pdf", "s13_docx", "s13_pptx", "s14_sheet", "s15_legacy", "s16_zip"])
+def test_rows_of_one_row_group_are_parsed_by_many_tasks(spark, name):
+    assert catalog.QUERIES[name](spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@pytest.mark.parametrize("name", ["x15_amount", "x01_entities", "x44_classify", "x44_classes", "x48_chunks_by_tokens", "f29_name_similarity"])
+def test_costly_expressions_are_dealt_to_many_tasks(spark, name):
+    assert "REPARTITION_BY_NUM" in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_mail_header_is_read_once():
+    from tracewell.sources import files
+
+    read = files.MAIL.header_factory.cache_info().misses
+    for _ in range(3):
+        assert files.mail_text(b"From: a@x.org\r\nSubject: once only\r\nContent-Type: text/plain\r\n\r\nbody").startswith("From: a@x.org\nSubject: once only")
+    assert files.MAIL.header_factory.cache_info().misses <= read + 3

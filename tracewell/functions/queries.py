@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.adapters import table
+from ..sources.adapters import spread, table
 from . import checksum, normalize, similarity
 
 K = "c_custkey"
@@ -94,7 +94,7 @@ n AS (SELECT *, len(list_intersect(x, y)) AS i, len(list_distinct(list_concat(x,
 SELECT p_partkey, round(CASE WHEN s = 0 THEN 0 ELSE least(1, CASE WHEN i = s AND s < l THEN greatest(i / u, 0.72 + 0.05 * i) ELSE i / u END) END, 6) AS similarity FROM n""",
 )
 def f29(spark, d):
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part"), "p_partkey")
     return p.select("p_partkey", F.round(similarity.name_similarity(F.col("p_name"), F.concat_ws(" ", "p_brand", "p_name")), 6).alias("similarity"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.adapters import table
+from ..sources.adapters import spread, table
 
 # Phrases that speak strongly and weakly for a class, and patterns with weight and greatest sum.
 STRONG, IN_NAME, WEAK, CAP, LEAST, HEAD, MOST_MATCHES = 0.35, 0.45, 0.08, 1.4, 0.25, 20_000, 40
@@ -216,7 +216,7 @@ SELECT d.id, CASE WHEN s >= {LEAST} THEN class ELSE 'other' END AS class,
 
 @query("x44_classify", "WITH d AS (SELECT doc_id AS id, text, source FROM documents), " + _sql("text", "source", "false"))
 def x44(spark: SparkSession, d: str) -> DataFrame:
-    return classify(table(spark, d, "documents").withColumnRenamed("doc_id", "id"), "id", F.col("source"))
+    return classify(spread(table(spark, d, "documents"), "doc_id").withColumnRenamed("doc_id", "id"), "id", F.col("source"))
 
 
 _PHRASES = [p for strong, _, _ in RULES.values() for p in strong.split("|")]
@@ -236,7 +236,7 @@ _NAME = "CASE k % 4 WHEN 0 THEN 'Screenshot_1.PNG' WHEN 1 THEN 'Ledger.xlsx' WHE
 )
 def x44_classes(spark, d):
     """Every strong phrase of every class, with weak words, patterns, file names and mail marks."""
-    o = table(spark, d, "orders").withColumn("k", F.col("o_orderkey")).withColumn("o_clerk_", F.col("o_orderpriority"))
+    o = spread(table(spark, d, "orders"), "o_orderkey").withColumn("k", F.col("o_orderkey")).withColumn("o_clerk_", F.col("o_orderpriority"))
     o = o.withColumn("p", F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("k") % len(_PHRASES) + 1).cast("int")))
     docs = o.select(F.col("k").alias("id"), F.expr(_TEXT.replace("chr(", "char(")).alias("text"), F.expr(_NAME).alias("name"), (F.col("k") % 7 == 0).alias("mail"))
     return classify(docs, "id", F.col("name"), F.col("mail"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.adapters import EDGES, edges, table
+from ..sources.adapters import EDGES, edges, spread, table
 from ..sources.perdoc import per_document
 from .extract import token_estimate
 
@@ -170,7 +170,7 @@ SELECT doc_id, chars FROM x""",
 )
 def x48(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of 2,000 characters hold every character but line ends once: blank ones are counted from the text."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marked = docs.withColumn("text", F.concat(F.lit("#"), F.regexp_replace("text", "\n", "\n#")))  # no chunk is blank
     chars = F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     kept = plan_chunks(marked, "doc_id", 2000).groupBy("doc_id").agg(F.sum(chars).alias("c"), F.max(F.length("text")).alias("longest"))
@@ -180,7 +180,7 @@ def x48(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x48_chunks_by_tokens", "SELECT doc_id, true AS fits FROM documents WHERE text IS NOT NULL AND text <> ''")
 def x48_tokens(spark, d):
-    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", "text", (F.length("text") / token_estimate(F.col("text")) * 256).alias("most"))
+    docs = spread(table(spark, d, "documents"), "doc_id").where("text <> ''").select("doc_id", "text", (F.length("text") / token_estimate(F.col("text")) * 256).alias("most"))
     kept = plan_chunks_by_tokens(docs, "doc_id", 256, 100).groupBy("doc_id").agg(F.max(F.length("text")).alias("longest"))
     return docs.join(kept, "doc_id", "left").select("doc_id", (F.coalesce("longest", F.lit(0)) <= F.ceil("most")).alias("fits"))
 
