@@ -49,3 +49,39 @@ def test_a_mail_header_is_read_once():
     for _ in range(3):
         assert files.mail_text(b"From: a@x.org\r\nSubject: once only\r\nContent-Type: text/plain\r\n\r\nbody").startswith("From: a@x.org\nSubject: once only")
     assert files.MAIL.header_factory.cache_info().misses <= read + 3
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_near_pairs_are_those_of_all_pairs(spark, most):
+    """Short and long values, common beginnings, equal values, blank ones and nulls."""
+    from tracewell.operators.near import near_pairs
+
+    rnd, rows = random.Random(most), []
+    for k in range(150):
+        v = "".join(rnd.choice("ab") for _ in range(rnd.choice([0, 1, 3, 6, 7])))
+        rows.append((k, k % 3, None if k % 40 == 39 else "same " * (k % 3) + ("long" * 11 + "er" if k % 4 == 0 else "") + v))
+    df = spark.createDataFrame(rows, "id long, block int, v string")
+    got = near_pairs(df, "block", "v", "id", most)
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString() and "CartesianProduct" not in got._jdf.queryExecution().toString()
+    want = [(i, j) for i, p, x in rows for j, q, y in rows if i < j and p == q and None not in (x, y) and edits(x, y) <= most]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("name", ["r13_fuzzy_join", "e11_duplicates"])
+def test_near_names_are_found_by_keys(spark, name):
+    """The join that checks the distance has a key of the names, not the block alone."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("key#" in line and "Join" in line for line in plan.splitlines())
+
+
+def test_all_pairs_of_suppliers_are_dealt_to_many_tasks(spark):
+    assert "REPARTITION_BY_NUM" in catalog.QUERIES["f28_levenshtein"](spark, SF)._jdf.queryExecution().executedPlan().toString()

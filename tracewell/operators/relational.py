@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..sources.adapters import EDGES, ENTITIES, LINKS, TX, edges, entities, links, table, transactions
+from .near import near_pairs
 
 
 def search(sources: dict[str, tuple[DataFrame, str, list[str]]], needle: str, most: int = 50) -> DataFrame:
@@ -126,11 +127,8 @@ def r12(spark, d):
     "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND abs(length(a.c_name) - length(b.c_name)) <= 2 AND levenshtein(a.c_name, b.c_name) <= 1",
 )
 def r13(spark, d):
-    """Levenshtein within a block; the threshold lets the comparison stop early."""
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name")
-    b = c.select(F.col("c_custkey").alias("b"), "c_nationkey", F.col("c_name").alias("other"))
-    near = c.join(b, "c_nationkey").where("c_custkey < b").where(F.abs(F.length("c_name") - F.length("other")) <= 2)
-    return near.where(F.levenshtein("c_name", "other", 1) >= 0).select(F.col("c_custkey").alias("a"), "b")
+    """Names one edit apart within a block; their lengths then differ by one at most."""
+    return near_pairs(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name"), "c_nationkey", "c_name", "c_custkey", 1)
 
 
 @query(
