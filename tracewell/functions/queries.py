@@ -80,7 +80,7 @@ for _row in PROBES:
 @query("f28_levenshtein", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, levenshtein(a.s_name, b.s_name) AS distance FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_nationkey = b.s_nationkey")
 def f28(spark, d):
     s = table(spark, d, "supplier")
-    a = s.select(F.col("s_suppkey").alias("a"), "s_nationkey", F.col("s_name").alias("x"))
+    a = spread(s, "s_suppkey").select(F.col("s_suppkey").alias("a"), "s_nationkey", F.col("s_name").alias("x"))
     b = s.select(F.col("s_suppkey").alias("b"), "s_nationkey", F.col("s_name").alias("y"))
     return a.join(b, "s_nationkey").where("a < b").select("a", "b", F.levenshtein("x", "y").cast("long").alias("distance"))
 
