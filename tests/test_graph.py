@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tracewell.operators import graph
@@ -82,3 +83,69 @@ def test_long_paths_and_dangling_nodes(spark):
         rank = {"a": 0.05 + 0.85 * lost, "b": 0.05 + 0.85 * (rank["a"] / 2 + lost), "c": 0.05 + 0.85 * (rank["a"] / 2 + rank["b"] + lost)}
     got = {r.id: r["rank"] for r in graph.page_rank(graph.nodes_of(star), star, iterations=10, tolerance=0).collect()}
     assert all(abs(got[k] - v) < 1e-9 for k, v in rank.items())
+
+
+def plain_betweenness(ids, pairs):
+    """All shortest paths of each pair, counted one by one."""
+    near = {}
+    for a, b, w in pairs:
+        if a != b:
+            near.setdefault(a, []).append((b, 1 / w))
+            near.setdefault(b, []).append((a, 1 / w))
+    dist = {a: {b: 0.0 if a == b else float("inf") for b in ids} for a in ids}
+    for a in near:
+        for b, d in near[a]:
+            dist[a][b] = min(dist[a][b], d)
+    for k in ids:
+        for a in ids:
+            for b in ids:
+                dist[a][b] = min(dist[a][b], dist[a][k] + dist[k][b])
+
+    def paths(a, b):
+        if a == b:
+            return [[a]]
+        return [[a, *p] for v, d in near.get(a, ()) if abs(d + dist[v][b] - dist[a][b]) < 1e-9 for p in paths(v, b)]
+
+    out = dict.fromkeys(ids, 0.0)
+    for a in ids:
+        for b in ids:
+            found = paths(a, b) if a < b and dist[a][b] < float("inf") else []
+            for p in found:
+                for v in p[1:-1]:
+                    out[v] += 1 / len(found)
+    return out
+
+
+def test_random_betweenness_and_closeness(spark, monkeypatch):
+    """Ties, parallel edges, several components, a node alone; with few and with all distances kept."""
+    rnd = random.Random(9)
+    pairs = [(f"n{rnd.randrange(14):02}", f"n{rnd.randrange(14):02}", rnd.choice([1, 1, 2, 3])) for _ in range(22)] + [("x", "y", 1), ("y", "z", 1)]
+    n, e = make(spark, pairs, ["alone"])
+    ids = sorted(r.id for r in n.collect())
+    assert as_dict(graph.betweenness(n, e), "betweenness") == pytest.approx(plain_betweenness(ids, pairs), abs=1e-9)
+    monkeypatch.setattr(graph, "KEPT_BYTES", 1)
+    a, b = ([ids.index(p[k]) for p in pairs if p[0] != p[1]] for k in (0, 1))
+    few = sum(graph._between(len(ids), np.array(a), np.array(b), np.array([float(p[2]) for p in pairs if p[0] != p[1]]), k, 2) for k in (0, 1)) / 2
+    assert dict(zip(ids, few)) == pytest.approx(plain_betweenness(ids, pairs), abs=1e-9)
+    near = {v: {y for a, b, _ in pairs for x, y in ((a, b), (b, a)) if x == v} for v in ids}
+    want = {}
+    for s in ids:
+        hops, front, k = {s: 0}, {s}, 0
+        while front:
+            k += 1
+            front = {w for v in front for w in near[v]} - set(hops)
+            hops |= dict.fromkeys(front, k)
+        want[s] = sum(1 / k for k in hops.values() if k) / (len(ids) - 1)
+    assert as_dict(graph.closeness(n, e), "closeness") == pytest.approx(want)
+
+
+def test_closeness_of_a_long_path_and_a_star(spark):
+    n, e = make(spark, [(f"n{k:04}", f"n{k + 1:04}", 1) for k in range(1500)])
+    assert as_dict(graph.closeness(n, e), "closeness")["n0000"] == pytest.approx(sum(1 / k for k in range(1, 1501)) / 1500)
+
+
+def test_edges_are_not_collected(spark):
+    """The driver gets no edges, however many there are."""
+    import inspect
+
+    assert all(x not in inspect.getsource(f) for f in (graph.betweenness, graph._shared_out) for x in ("toPandas", "collect(", "limit("))
