@@ -85,3 +85,10 @@ def test_near_names_are_found_by_keys(spark, name):
 
 def test_all_pairs_of_suppliers_are_dealt_to_many_tasks(spark):
     assert "REPARTITION_BY_NUM" in catalog.QUERIES["f28_levenshtein"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["r09_semi_join", "r10_anti_join", "p05_shared_identifiers"])
+def test_links_are_not_made_distinct_first(spark, name):
+    """Pairs of entity and evidence are never held to find distinct ones before the join."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(line.strip(" :+-").startswith("Aggregate [entity_id") and "evidence_id" in line for line in plan.splitlines())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..sources.adapters import EDGES, ENTITIES, LINKS, TX, edges, entities, links, table, transactions
+from ..sources.adapters import EDGES, ENTITIES, LINKS, TX, edges, entities, linked, links, table, transactions
 from .near import near_pairs
 
 
@@ -100,13 +100,13 @@ def r08(spark, d):
 
 @query("r09_semi_join", f"WITH {ENTITIES}, {LINKS} SELECT id FROM n WHERE id IN (SELECT entity_id FROM k)")
 def r09(spark, d):
-    n, k = entities(spark, d), links(spark, d)
+    n, k = entities(spark, d), linked(spark, d)
     return n.join(k, n.id == k.entity_id, "left_semi").select("id")
 
 
 @query("r10_anti_join", f"WITH {ENTITIES}, {LINKS} SELECT id FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE entity_id = id)")
 def r10(spark, d):
-    n, k = entities(spark, d), links(spark, d)
+    n, k = entities(spark, d), linked(spark, d)
     return n.join(k, n.id == k.entity_id, "left_anti").select("id")
 
 

@@ -95,15 +95,28 @@ n AS (SELECT x.id, r_name AS case_id, x.type, x.value, x.norm, x.balance,
   FROM x JOIN nation ON n_nationkey = k JOIN region ON r_regionkey = n_regionkey)"""
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity_id, evidence_id: an order is a piece of evidence, its customer and its suppliers are linked to it."""
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id of every entity that ``links`` has, from distinct keys: no pairs with evidence are made."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key")).distinct()
+    name = lambda df, mark: df.select(F.concat(F.lit(mark), F.col("key").cast("string")).alias("entity_id"))
+    return name(o, "C").unionByName(name(l, "S"))
+
+
+def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``links`` with a row for each line, not distinct."""
     o = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("entity_id"), F.col("o_orderkey").alias("evidence_id")
     )
     l = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("entity_id"), F.col("l_orderkey").alias("evidence_id")
     )
-    return o.unionByName(l).distinct()
+    return o.unionByName(l)
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id, evidence_id: an order is a piece of evidence, its customer and its suppliers are linked to it."""
+    return all_links(spark, sf_dir).distinct()
 
 
 LINKS = """k AS (SELECT concat('C', o_custkey) AS entity_id, o_orderkey AS evidence_id FROM orders
